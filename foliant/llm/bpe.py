@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 import mmap
 import struct
@@ -331,30 +332,30 @@ class Codec:
     def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces, flat, and their offsets."""
         n = len(words)
-        values = words.to_pylist()
-        found: list = [None] * n
+        lengths, ranks = np.zeros(n, np.int64), np.full(n, -1, np.int64)
         if self.lexicon is not None and n:
             _, offsets, data = words.buffers()
             edges = np.frombuffer(offsets, np.int64)[words.offset : words.offset + n + 1]
             ranks = self.lexicon.ranks(np.frombuffer(data, np.uint8), edges[:-1], np.diff(edges))
-            hit = np.nonzero(ranks >= 0)[0]
-            a, b = self.lexicon.offsets[ranks[hit]].tolist(), self.lexicon.offsets[ranks[hit] + 1].tolist()
-            for i, x, y in zip(hit.tolist(), a, b, strict=True):
-                found[i] = self.lexicon.ids[x:y]
-        merge, kept = self.vocabulary.merge, self.merged
-        for i, value in enumerate(values):
-            if found[i] is None:
-                ids = kept.get(value)
-                if ids is None:
-                    ids = merge(value)
-                    if len(value) <= self.REMEMBERED_BYTES:
-                        if len(kept) >= self.REMEMBERED:
-                            kept.clear()
-                        kept[value] = ids
-                found[i] = ids
-        lengths = np.fromiter(map(len, found), np.int64, n)
-        flat = np.concatenate([np.asarray(f, np.int64) for f in found]) if n else np.empty(0, np.int64)
-        return flat, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+            lengths = np.where(ranks >= 0, self.lexicon.offsets[ranks + 1] - self.lexicon.offsets[ranks], 0).astype(np.int64)
+        unseen, hit = np.nonzero(ranks < 0)[0], np.nonzero(ranks >= 0)[0]
+        merge, kept, found = self.vocabulary.merge, self.merged, []
+        for value in words.take(pa.array(unseen)).to_pylist():
+            ids = kept.get(value)
+            if ids is None:
+                ids = merge(value)
+                if len(value) <= self.REMEMBERED_BYTES:
+                    if len(kept) >= self.REMEMBERED:
+                        kept.clear()
+                    kept[value] = ids
+            found.append(ids)
+        lengths[unseen] = np.fromiter(map(len, found), np.int64, len(found))
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        flat = np.empty(int(ends[-1]), np.int32)
+        flat[gather(ends[unseen], lengths[unseen])] = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths[unseen].sum()))
+        if len(hit):
+            flat[gather(ends[hit], lengths[hit])] = self.lexicon.ids[gather(self.lexicon.offsets[ranks[hit]].astype(np.int64), lengths[hit])]
+        return flat, ends
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All token ids in a row, and the offsets of each text."""
@@ -385,14 +386,18 @@ class Codec:
 
 def decimal_lists(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """For each text its ids in decimal, joined by commas."""
-    distinct, codes = np.unique(ids, return_inverse=True)
-    names = pa.array([b"%d," % i for i in distinct.tolist()], pa.large_binary()).take(pa.array(codes))
+    names = _decimals(1 << int(ids.max(initial=0)).bit_length()).take(pa.array(ids))
     _, offsets, data = names.buffers()
     edges = np.frombuffer(offsets, np.int64)[names.offset : names.offset + len(names) + 1]
     raw, at = (memoryview(data) if data is not None else memoryview(b"")), edges[bounds].tolist()
     return [bytes(raw[a : max(a, b - 1)]) for a, b in zip(at, at[1:], strict=False)]
 
 
+@functools.cache
+def _decimals(n: int) -> pa.Array:
+    return pa.array([b"%d," % i for i in range(n)], pa.large_binary())
+
+
 def frequent_pieces(docs: DataFrame, content: bytes, size: int = LEXICON_SIZE, text: str = "text") -> list[bytes]:
     """The ``size`` most frequent pieces of all texts, ties by value.
 
