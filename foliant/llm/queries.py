@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -17,6 +17,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SHARDS = [f"shard-{i:02d}" for i in range(16)]
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
+
+
+def op6_sql() -> str:
+    """Placement in SQL; the table, which is filled in turns, is a literal of two hexadecimal digits a slot."""
+    from .sharding import SLOTS, fill_table
+
+    owners = "".join(f"{x:02x}" for x in fill_table(SHARDS))
+    return f"""
+        WITH t AS (SELECT '{owners}' AS owners),
+        d AS (SELECT doc_id, coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), 'null') AS k FROM documents),
+        s AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(k), 1, 15) AS BIGINT) % {SLOTS} AS INTEGER) AS slot FROM d)
+        SELECT doc_id, slot, CAST(CAST('0x' || substr(t.owners, 2 * slot + 1, 2) AS BIGINT) AS INTEGER) AS shard FROM s, t"""
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_boilerplate
+
+    clean = drop_boilerplate(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP10_SQL = """
+    WITH d AS (SELECT doc_id, coalesce('h' || source, '') AS host, string_split(text, chr(10)) AS lines FROM documents),
+    pages AS (SELECT host, count(*) AS pages FROM d WHERE lines IS NOT NULL GROUP BY host HAVING count(*) >= 20),
+    l AS (SELECT DISTINCT doc_id, host, trim(line, ' ' || chr(9) || chr(13)) AS line FROM (SELECT doc_id, host, unnest(lines) AS line FROM d)),
+    n AS (SELECT host, line, count(*) AS n FROM l WHERE line <> '' GROUP BY host, line HAVING count(*) > 1),
+    b AS (SELECT n.host, list(line) AS bad FROM n JOIN pages USING (host) WHERE n > pages * CAST(0.1 AS DOUBLE) GROUP BY n.host),
+    k AS (SELECT doc_id, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, trim(x, ' ' || chr(9) || chr(13)))) END AS kept
+          FROM d LEFT JOIN b ON d.host = b.host)
+    SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
+           CASE WHEN lines IS NOT NULL THEN sha256(coalesce(array_to_string(kept, chr(10)), '')) END AS kept_sha256
+    FROM k"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_and_decode
 
@@ -24,7 +65,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_sharding": op6_sharding,
     "op9_bpe": op9_bpe,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_sharding": op6_sql(),
+    "op10_line_dedup": OP10_SQL,
+}
