@@ -17,6 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+OP1_SQL = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    bi AS (SELECT item, ws, unnest(range(1, CAST(greatest(len(ws) - 9, 1) AS BIGINT) + 1)) AS s FROM b WHERE len(ws) > 0),
+    w AS (SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(list_slice(ws, s, s + 9), ' ') AS k FROM bi),
+    di AS (SELECT doc_id, ws, n, unnest(range(1, CAST(greatest(len(ws) - n + 1, 0) AS BIGINT) + 1)) AS s FROM d, (SELECT DISTINCT n FROM w) AS z),
+    h AS (SELECT di.doc_id, di.s, di.n, w.item FROM di JOIN w ON w.n = di.n AND w.k = array_to_string(list_slice(ws, s, s + di.n - 1), ' ')),
+    c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM h) AS covered GROUP BY doc_id),
+    i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) AS named GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id"""
+
+
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
 
@@ -65,12 +86,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op6_sharding": op6_sharding,
     "op9_bpe": op9_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op1_decontaminate": OP1_SQL,
     "op6_sharding": op6_sql(),
     "op10_line_dedup": OP10_SQL,
 }
