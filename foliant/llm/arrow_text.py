@@ -95,3 +95,28 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def partial_counts(encoded: Iterator[tuple[pa.Array, np.ndarray]], name: str = "word", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Counts of values, from distinct values and codes of each piece: ``name`` and ``n``.
+
+    About ``most`` distinct values are held; beyond that what is held goes out, so a value
+    may come more than once, and the counts are to be summed.
+    """
+    held: list[pa.Table] = []
+    rows = 0
+
+    def total() -> pa.Table:
+        return pa.concat_tables(held).group_by(name).aggregate([("n", "sum")]).rename_columns([name, "n"])
+
+    for values, codes in encoded:
+        held.append(pa.table({name: values.cast(pa.binary()), "n": np.bincount(codes, minlength=len(values)).astype(np.int64)}))
+        rows += len(values)
+        if rows > most:
+            merged = total()
+            held, rows = [merged], merged.num_rows
+            if rows > most // 2:
+                yield from merged.to_batches()
+                held, rows = [], 0
+    if held:
+        yield from total().to_batches()

@@ -25,10 +25,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .arrow_text import gather, pieces, utf8_buffer
+from .arrow_text import gather, partial_counts, pieces, utf8_buffer
 
 #: Number of frequent pieces that the lexicon holds; the rest is merged on demand.
 LEXICON_SIZE = 131_072
@@ -407,26 +406,13 @@ def frequent_pieces(docs: DataFrame, content: bytes, size: int = LEXICON_SIZE, t
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value[0], classes=shared.value[1])
-        held: list[pa.Table] = []
-        rows = 0
-
-        def total() -> pa.Table:
-            return pa.concat_tables(held).group_by("piece").aggregate([("n", "sum")]).rename_columns(["piece", "n"])
-
-        for batch in pieces(batches, "text"):
-            words, special, _ = codec.cut(batch.column("text"))
-            codes = words.indices.to_numpy(zero_copy_only=False)[~special]
-            held.append(pa.table({"piece": words.dictionary.cast(pa.binary()), "n": np.bincount(codes, minlength=len(words.dictionary)).astype(np.int64)}))
-            rows += len(words.dictionary)
-            if rows > 1_000_000:
-                merged = total()
-                if merged.num_rows > 500_000:
-                    yield from merged.to_batches()
-                    held, rows = [], 0
-                else:
-                    held, rows = [merged], merged.num_rows
-        if held:
-            yield from total().to_batches()
+
+        def encoded() -> Iterator[tuple[pa.Array, np.ndarray]]:
+            for batch in pieces(batches):
+                words, special, _ = codec.cut(batch.column("text"))
+                yield words.dictionary, words.indices.to_numpy(zero_copy_only=False)[~special]
+
+        yield from partial_counts(encoded(), "piece")
 
     counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "piece binary, n long")
     top = counts.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "piece").limit(size)

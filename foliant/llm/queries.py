@@ -79,6 +79,14 @@ OP10_SQL = """
     FROM k"""
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .class_lm import held_out, score, train, training
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = train(docs.where(training()))
+    return score(docs, model, counts).withColumn("held_out", held_out())
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_and_decode
 
@@ -88,6 +96,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op6_sharding": op6_sharding,
+    "op7_class_lm": op7_class_lm,
     "op9_bpe": op9_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
