@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrow_text import gather, partial_counts, pieces, utf8_buffer
+from .frequency import most_frequent
+from .storage import checkpointed
 
 #: Number of frequent pieces that the lexicon holds; the rest is merged on demand.
 LEXICON_SIZE = 131_072
@@ -398,7 +400,7 @@ def _decimals(n: int) -> pa.Array:
 
 
 def frequent_pieces(docs: DataFrame, content: bytes, size: int = LEXICON_SIZE, text: str = "text") -> list[bytes]:
-    """The ``size`` most frequent pieces of all texts, ties by value.
+    """The most frequent pieces of all texts, ``size`` at most.
 
     Counts cover every text; each task adds up its own before the shuffle.
     """
@@ -415,8 +417,8 @@ def frequent_pieces(docs: DataFrame, content: bytes, size: int = LEXICON_SIZE, t
         yield from partial_counts(encoded(), "piece")
 
     counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "piece binary, n long")
-    top = counts.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "piece").limit(size)
-    return [bytes(r.piece) for r in top.collect()]  # at most LEXICON_SIZE short rows
+    totals = checkpointed(counts.groupBy("piece").agg(F.sum("n").alias("n")))
+    return most_frequent(totals, size, "piece")["piece"].to_pylist()
 
 
 def build_lexicon(docs: DataFrame, vocabulary_path: str, size: int = LEXICON_SIZE, text: str = "text") -> tuple[bytes, bytes]:
