@@ -41,6 +41,14 @@ OP1_SQL = r"""
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = train(docs.where(~held_out()))
+    return predict(docs.select("doc_id", "text", held_out().alias("held_out")), network).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
@@ -95,6 +103,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_language_id": op3_language_id,
     "op6_sharding": op6_sharding,
     "op7_class_lm": op7_class_lm,
     "op9_bpe": op9_bpe,
