@@ -38,6 +38,12 @@ OP1_SQL = r"""
     FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id"""
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
 
@@ -104,6 +110,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_language_id": op3_language_id,
+    "op4_ann": op4_ann,
     "op6_sharding": op6_sharding,
     "op7_class_lm": op7_class_lm,
     "op9_bpe": op9_bpe,
