@@ -47,6 +47,13 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import set_components
+
+    rows, _ = set_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, part=90, whole=100)
+    return rows.withColumnRenamed("doc", "doc_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import held_out, predict, train
 
@@ -109,6 +116,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_ann": op4_ann,
     "op6_sharding": op6_sharding,
