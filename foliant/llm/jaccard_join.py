@@ -137,6 +137,7 @@ class Scheme:
                 place[part] = -1
         distance = differ[:, None] + differ[None, :] - 2 * np.rint(shared).astype(np.int64)
         linked = distance * (self.whole + self.part) <= (sizes[:, None] + sizes[None, :]) * (self.whole - self.part)
+        np.fill_diagonal(linked, True)
         label = np.arange(n)
         while True:
             least = np.where(linked, label[None, :], n).min(1)
