@@ -108,6 +108,21 @@ def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, counts).withColumn("held_out", held_out())
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    rows = pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return rows.select(
+        F.element_at("cu_seqlens", -1).alias("n_tokens"),
+        F.size("segments").alias("n_segments"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        "cu_seqlens",
+        "resets",
+        F.col("segments.doc").alias("doc_ids"),
+        F.col("segments.piece").alias("pieces"),
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_and_decode
 
@@ -121,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ann": op4_ann,
     "op6_sharding": op6_sharding,
     "op7_class_lm": op7_class_lm,
+    "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
