@@ -100,6 +100,13 @@ OP10_SQL = """
     FROM k"""
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import drop_repeats
+
+    rows = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .class_lm import held_out, score, train, training
 
@@ -134,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_ann": op4_ann,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_sharding": op6_sharding,
     "op7_class_lm": op7_class_lm,
     "op8_packing": op8_packing,
