@@ -57,12 +57,14 @@ def _shingles(ws: str) -> Column:
 
 
 def _tokens(texts: DataFrame, single: bool) -> DataFrame:
-    """The columns of ``texts`` with ``at`` and ``shingle`` for each word; the last word's is that of a single word."""
-    rows = texts.select("*", F.posexplode("ws").alias("at", "word"))
-    pairs = rows.select(*texts.columns, "at", F.expr("xxhash64(word, get(ws, at + 1))").alias("shingle"))
-    if single:  # windows of one word occur before other words too
-        pairs = pairs.unionByName(rows.where("at + 1 < size(ws)").select(*texts.columns, "at", F.expr("xxhash64(word)").alias("shingle")))
-    return pairs
+    """The columns of ``texts`` with ``at`` and ``shingle`` for each word; the last word's is that of a single word.
+
+    Both generators stay in one code-generated stage with the join above, so that a text's
+    words are not copied for each of its words.
+    """
+    pair = "xxhash64(word, get(ws, at + 1))"
+    shingle = F.explode(F.expr(f"array({pair}, xxhash64(word))")) if single else F.expr(pair)  # windows of one word occur before other words too
+    return texts.select("*", F.posexplode("ws").alias("at", "word")).select(*texts.columns, "at", shingle.alias("shingle"))
 
 
 def _anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:

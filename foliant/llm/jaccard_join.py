@@ -24,7 +24,8 @@ each task keeps one of its equal sets, and long lists split into pairs of blocks
 
 Defined cases: null texts and texts without words have an empty set and no links; a text
 with fewer words than a shingle has one shingle, the whole; rows with a null id have no
-component; rows that share an id are judged by their own text. Extra columns stay.
+component; repeated rows share a component. Ids name one text each: of rows with one id
+and different texts, only one text's links are sure to count. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -47,19 +47,19 @@ def _host_key(host: str) -> Column:
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """``docs`` with ``text`` rid of boilerplate lines, and n_lines and n_dropped as long."""
-    found = checkpointed(boilerplate(docs, host, text, max_ratio, min_pages))
-    size = found.agg(F.sum(F.size("digests"))).first()[0] or 0
+    found = checkpointed(boilerplate(docs, host, text, max_ratio, min_pages)).toDF("__host", "__digests")
+    size = found.agg(F.sum(F.size("__digests"))).first()[0] or 0
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     pages = docs.withColumn("__host", _host_key(host))
     if size <= broadcast_digests:
-        joined = pages.join(F.broadcast(found.withColumnRenamed("host_key", "__host")), "__host", "left")
+        joined = pages.join(F.broadcast(found), "__host", "left")
     else:
-        salted = found.withColumnRenamed("host_key", "__host").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         pages = pages.withColumn("__salt", F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(SALTS)).cast("int"))
         joined = pages.join(salted, ["__host", "__salt"], "left")
     lines = F.split(F.col(text).cast("string"), "\n")
-    stays = lambda line: (_key(line) == "") | ~F.array_contains("digests", F.md5(_key(line)))
-    joined = joined.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("digests").isNull(), F.col("__lines")).otherwise(F.filter("__lines", stays)))
+    stays = lambda line: (_key(line) == "") | ~F.array_contains("__digests", F.md5(_key(line)))
+    joined = joined.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__digests").isNull(), F.col("__lines")).otherwise(F.filter("__lines", stays)))
     clean = F.when(F.size("__kept") == F.size("__lines"), F.col(text).cast("string")).otherwise(F.array_join("__kept", "\n"))
     size_of = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long")
     return joined.select(
