@@ -312,7 +312,7 @@ class Lexicon:
 class Codec:
     """Encodes Arrow string arrays to flat ids and offsets, and back."""
 
-    #: Merged pieces that a worker remembers, and the longest of them in bytes.
+    #: Merged pieces that a worker remembers, in each of two generations, and the longest of them in bytes.
     REMEMBERED, REMEMBERED_BYTES = 200_000, 64
 
     def __init__(self, content: bytes, image: bytes | None = None, classes: np.ndarray | None = None):
@@ -320,6 +320,7 @@ class Codec:
         self.lexicon = Lexicon.mapped(image) if image else None
         self.classes = classes
         self.merged: dict[bytes, list[int]] = {}
+        self.older: dict[bytes, list[int]] = {}
         self.token_bytes = pa.array(self.vocabulary.tokens, pa.large_binary())
 
     def cut(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
@@ -340,14 +341,14 @@ class Codec:
             ranks = self.lexicon.ranks(np.frombuffer(data, np.uint8), edges[:-1], np.diff(edges))
             lengths = np.where(ranks >= 0, self.lexicon.offsets[ranks + 1] - self.lexicon.offsets[ranks], 0).astype(np.int64)
         unseen, hit = np.nonzero(ranks < 0)[0], np.nonzero(ranks >= 0)[0]
-        merge, kept, found = self.vocabulary.merge, self.merged, []
+        merge, kept, older, found = self.vocabulary.merge, self.merged, self.older, []
         for value in words.take(pa.array(unseen)).to_pylist():
             ids = kept.get(value)
             if ids is None:
-                ids = merge(value)
+                ids = older.get(value) or merge(value)
                 if len(value) <= self.REMEMBERED_BYTES:
                     if len(kept) >= self.REMEMBERED:
-                        kept.clear()
+                        self.older, self.merged = older, kept = kept, {}
                     kept[value] = ids
             found.append(ids)
         lengths[unseen] = np.fromiter(map(len, found), np.int64, len(found))
@@ -385,6 +386,18 @@ class Codec:
         return [bytes(raw[a:b]).decode("utf-8", "replace").encode() for a, b in zip(at, at[1:], strict=False)]
 
 
+_codecs: dict[tuple, Codec] = {}
+
+
+def worker_codec(content: bytes, image: bytes | None = None, classes: np.ndarray | None = None) -> Codec:
+    """A codec that the tasks of a worker process share one after the other; only the latest is held."""
+    key = (hash(content), hash(image))
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(content, image, classes)
+    return _codecs[key]
+
+
 def decimal_lists(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """For each text its ids in decimal, joined by commas."""
     names = _decimals(1 << int(ids.max(initial=0)).bit_length()).take(pa.array(ids))
@@ -407,7 +420,7 @@ def frequent_pieces(docs: DataFrame, content: bytes, size: int = LEXICON_SIZE, t
     shared = docs.sparkSession.sparkContext.broadcast((content, character_classes()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value[0], classes=shared.value[1])
+        codec = worker_codec(shared.value[0], classes=shared.value[1])
 
         def encoded() -> Iterator[tuple[pa.Array, np.ndarray]]:
             for batch in pieces(batches):
@@ -434,7 +447,7 @@ def _with_codec(docs: DataFrame, vocabulary_path: str, size: int, text: str, wor
     shared = docs.sparkSession.sparkContext.broadcast((content, image, character_classes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = worker_codec(*shared.value)
         for batch in pieces(batches, "_text"):
             yield work(codec, batch)
 
@@ -463,7 +476,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids: str = "ids", out: str
     def text_of(column):
         import pandas as pd
 
-        codec = Codec(shared.value)
+        codec = worker_codec(shared.value)
         none = column.isna()
         lengths = np.array([0 if m else len(v) for v, m in zip(column, none, strict=True)], np.int64)
         flat = np.concatenate([np.asarray(v, np.int64) for v, m in zip(column, none, strict=True) if not m] or [np.empty(0, np.int64)])

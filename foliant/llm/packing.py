@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import gather, pieces
-from .bpe import Codec, character_classes
+from .bpe import character_classes, worker_codec
 
 ROW_TOKENS = 2_048
 #: Tokens that are packed together; at least as many as a single text has.
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, vocabulary_path: str, row: int = ROW_TOKENS, doc: str
     id_kind = docs.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value[0], classes=shared.value[1])
+        codec = worker_codec(shared.value[0], classes=shared.value[1])
         special = codec.vocabulary.special
         fill = pad if pad is not None else min(special.values(), default=0)
         kind = "<u2" if len(codec.vocabulary.tokens) <= 1 << 16 else "<u4"
