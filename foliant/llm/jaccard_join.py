@@ -210,9 +210,10 @@ def set_components(docs: DataFrame, width: int = 3, part: int = 90, whole: int =
     buckets = int(min(1 << 14, max(24, -(-size // BUCKET_BYTES))))
     index = checkpointed(_index(docs, scheme, doc, text, buckets))
     units = index.select("base", F.posexplode(F.arrays_zip("doc", "n", "f1", "f2")).alias("at", "u")).select((F.col("base") + F.col("at")).alias("unit"), "u.*")
-    classes = units.where("doc is not null and n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("members"))
+    # written, so that joins to it shuffle both sides and Spark can split what a large group of copies makes
+    classes = checkpointed(units.where("doc is not null and n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep")))
     entries = index.select("base", F.posexplode("blobs").alias("bucket", "blob")).where("octet_length(blob) > 0").groupBy("bucket").applyInPandas(_shared_keys, "list long, unit long")
-    of_unit = units.join(classes.drop("members"), ["n", "f1", "f2"]).select("unit", "rep", "n", "f1", "f2")
+    of_unit = units.join(classes, ["n", "f1", "f2"]).select("unit", "rep", "n", "f1", "f2")
     entries = entries.join(of_unit, "unit").groupBy("list", "rep").agg(F.min("n").alias("n"), F.min("f1").alias("f1"), F.min("f2").alias("f2"))
     lists = entries.groupBy("list").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("members")).where("first < last")
     entries = checkpointed(entries.join(lists.drop("last"), "list"))
