@@ -48,6 +48,8 @@ RATIO = 1.4
 BUCKET_BYTES = 6 << 20
 #: Lists of so many members or fewer are compared pair by pair; longer ones in blocks.
 SHORT_LIST, BLOCK = 24, 256
+#: Ids that may be broadcast to pick texts (some 40 MB); beyond it they are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 class Scheme:
@@ -149,8 +151,23 @@ class Scheme:
         return [(i, int(label[i])) for i in range(n) if label[i] != i]
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes by place, so that the highest ones of sorted values lie together."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _values(blobs, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    parts = [np.frombuffer(b, np.uint8).reshape(size, -1).T for b in blobs]
+    return np.ascontiguousarray(np.concatenate(parts)).view(kind).ravel() if parts else np.empty(0, kind)
+
+
 def _index(docs: DataFrame, scheme: Scheme, doc: str, text: str, buckets: int) -> DataFrame:
-    """Of each piece of the corpus: its documents, their sizes and prints, and its entries for each bucket."""
+    """Of each piece of the corpus a row with its documents, their sizes and prints, and a row of entries for each bucket.
+
+    An entry is the key's lowest 32 bits, which with the bucket tell lists apart but for a few, and
+    the document's place in the piece. Lists that fall together only add pairs to compare.
+    """
     kind = docs.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,43 +180,52 @@ def _index(docs: DataFrame, scheme: Scheme, doc: str, text: str, buckets: int) -
                 print1 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 print2 = np.array([mix64(mix64(s) ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 given = part.column("doc").is_valid().to_numpy(zero_copy_only=False)
-                keys, local, seen = [], [], set()
+                keys, local, seen = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)], set()
                 for i, s in enumerate(sets):
                     if len(s) and given[i] and (same := (sizes[i], print1[i], print2[i])) not in seen:
                         seen.add(same)
                         found = scheme.signatures(s)
                         keys.append(found)
-                        local.append(np.full(len(found), i, np.uint64))
-                keys, local = (np.concatenate(keys), np.concatenate(local)) if keys else (np.empty(0, np.uint64), np.empty(0, np.uint64))
-                bucket = (((keys >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)).astype(np.int64)
-                entry = (keys << np.uint64(16)) | local
-                order = np.lexsort((entry, bucket))
+                        local.append(np.full(len(found), i, np.uint16))
+                keys, local = np.concatenate(keys), np.concatenate(local)
+                bucket = (((keys >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
+                low = keys.astype(np.uint32)
+                order = np.lexsort((low, bucket))
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                entry = entry[order]
-                blobs = [entry[a:b].tobytes() for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
-                one = lambda values, kind=None: pa.array([values], kind)
-                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc"))
-                yield pa.record_batch([one(base), ids, one(sizes), one(print1), one(print2), one(blobs, pa.list_(pa.binary()))], ["base", "doc", "n", "f1", "f2", "blobs"])
+                low, local = low[order], local[order]
+                some = np.nonzero(np.diff(edges))[0].tolist()
+                rows = 1 + len(some)
+                first = lambda values, kind: pa.array([values] + [None] * (rows - 1), kind)  # noqa: E731, B023
+                ids = pa.ListArray.from_arrays(pa.array([0] + [part.num_rows] * rows, pa.int32()), part.column("doc"))
+                blobs = [pa.array([None] + [_planes(v[edges[i] : edges[i + 1]]) for i in some], pa.binary()) for v in (low, local)]
+                longs = pa.list_(pa.int64())
+                yield pa.record_batch([pa.array([base] * rows), pa.array([-1 - (base >> 16) % buckets, *some], pa.int32()), ids, first(sizes, longs), first(print1, longs), first(print2, longs), *blobs], ["base", "bucket", "doc", "n", "f1", "f2", "keys", "local"])
                 base += 1 << 16
 
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"base long, doc array<{kind}>, n array<long>, f1 array<long>, f2 array<long>, blobs array<binary>")
+    return rows.mapInArrow(run, f"base long, bucket int, doc array<{kind}>, n array<long>, f1 array<long>, f2 array<long>, keys binary, local binary")
 
 
-def _shared_keys(blobs: pd.DataFrame) -> pd.DataFrame:
-    """Entries of one bucket whose key occurs more than once: ``list`` and ``unit``."""
-    entry = [np.frombuffer(b, np.uint64) for b in blobs["blob"]]
-    base = np.repeat(blobs["base"].to_numpy(), [len(e) for e in entry])
-    entry = np.concatenate(entry) if entry else np.empty(0, np.uint64)
-    key = entry >> np.uint64(16)
+def _shared_keys(rows: pa.Table) -> pa.Table:
+    """Entries of one bucket whose key occurs more than once, as two arrays; rows of documents pass."""
+    names, longs = ["base", "doc", "n", "f1", "f2", "lists", "units"], pa.list_(pa.int64())
+    if rows["bucket"][0].as_py() < 0:
+        none = pa.nulls(rows.num_rows, longs)
+        return pa.table([*(rows[c] for c in names[:5]), none, none], names)
+    key, local = _values(rows["keys"].to_pylist(), np.uint32), _values(rows["local"].to_pylist(), np.uint16)
+    base = np.repeat(rows["base"].to_numpy(), [len(b) // 2 for b in rows["local"].to_pylist()])
     order = np.argsort(key, kind="stable")
     key = key[order]
     same = np.zeros(len(key), bool)
     same[1:] = key[1:] == key[:-1]
     same[:-1] |= same[1:]
     chosen = order[same]
-    bucket = int(blobs["bucket"].iloc[0]) if len(blobs) else 0
-    return pd.DataFrame({"list": key[same].astype(np.int64) | (bucket << 48), "unit": base[chosen] + (entry[chosen] & np.uint64(0xFFFF)).astype(np.int64)})
+    lists = key[same].astype(np.int64) | (rows["bucket"][0].as_py() << 32)
+    units = base[chosen] + local[chosen].astype(np.int64)
+    parts = range(0, len(lists), 1 << 16)
+    cut = lambda v: pa.array([v[i : i + (1 << 16)] for i in parts], longs)
+    none = [pa.nulls(len(parts), rows.schema.field(c).type) for c in names[1:5]]
+    return pa.table([pa.array(np.zeros(len(parts), np.int64)), *none, cut(lists), cut(units)], names)
 
 
 def set_components(docs: DataFrame, width: int = 3, part: int = 90, whole: int = 100, doc: str = "doc_id", text: str = "text", short_list: int = SHORT_LIST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -207,29 +233,34 @@ def set_components(docs: DataFrame, width: int = 3, part: int = 90, whole: int =
     scheme = Scheme(width, part, whole)
     kind = docs.schema[doc].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    buckets = int(min(1 << 14, max(24, -(-size // BUCKET_BYTES))))
-    index = checkpointed(_index(docs, scheme, doc, text, buckets))
-    units = index.select("base", F.posexplode(F.arrays_zip("doc", "n", "f1", "f2")).alias("at", "u")).select((F.col("base") + F.col("at")).alias("unit"), "u.*")
+    buckets = int(min(1 << 20, max(24, -(-size // BUCKET_BYTES))))
+    many = f"array<{kind}>"
+    index = _index(docs, scheme, doc, text, buckets).groupBy("bucket").applyInArrow(_shared_keys, f"base long, doc {many}, n array<long>, f1 array<long>, f2 array<long>, lists array<long>, units array<long>")
+    index = checkpointed(index)
+    units = index.where("doc is not null").select("base", F.posexplode(F.arrays_zip("doc", "n", "f1", "f2")).alias("at", "u")).select((F.col("base") + F.col("at")).alias("unit"), "u.*")
     # written, so that joins to it shuffle both sides and Spark can split what a large group of copies makes
     classes = checkpointed(units.where("doc is not null and n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep")))
-    entries = index.select("base", F.posexplode("blobs").alias("bucket", "blob")).where("octet_length(blob) > 0").groupBy("bucket").applyInPandas(_shared_keys, "list long, unit long")
-    of_unit = units.join(classes, ["n", "f1", "f2"]).select("unit", "rep", "n", "f1", "f2")
-    entries = entries.join(of_unit, "unit").groupBy("list", "rep").agg(F.min("n").alias("n"), F.min("f1").alias("f1"), F.min("f2").alias("f2"))
+    entries = index.where("lists is not null").select(F.explode(F.arrays_zip("lists", "units")).alias("e")).select(F.col("e.lists").alias("list"), F.col("e.units").alias("unit"))
+    of_unit = units.join(classes, ["n", "f1", "f2"]).select("unit", "rep")
+    entries = entries.join(of_unit, "unit").select("list", "rep").distinct()
     lists = entries.groupBy("list").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("members")).where("first < last")
-    entries = checkpointed(entries.join(lists.drop("last"), "list"))
+    entries = entries.join(lists.drop("last"), "list")
+    entries = checkpointed(entries.join(classes.groupBy("rep").agg(F.min("n").alias("n"), F.min("f1").alias("f1"), F.min("f2").alias("f2")), "rep"))
 
     needed = entries.select(F.col("rep").alias("doc"), "f1", "f2").distinct()
-    texts = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).join(needed, "doc").dropDuplicates(["doc", "text"])
+    needed = checkpointed(needed)
+    few = needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).join(F.broadcast(needed) if few else needed, "doc")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = scheme.sets(batch.column("text"))
             prints = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-            own = np.nonzero(np.array(prints, np.int64) == batch.column("f1").to_numpy())[0]
+            own = np.nonzero(np.array(prints, np.int64) == batch.column("f1").to_numpy())[0].tolist()
             lists = pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))
             yield pa.record_batch([batch.column("doc").take(pa.array(own)), lists], ["doc", "shingles"])
 
-    sets = checkpointed(texts.select("doc", "text", "f1").mapInArrow(keep, f"doc {kind}, shingles array<long>"))
+    sets = texts.select("doc", "text", "f1").mapInArrow(keep, f"doc {kind}, shingles array<long>").dropDuplicates(["doc"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
