@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -148,33 +149,31 @@ def _later(key: np.ndarray, extra: np.ndarray, doc: np.ndarray, place: np.ndarra
     return order[later], order[~later]
 
 
-def _resolve(rows: pd.DataFrame) -> pd.DataFrame:
+def _resolve(rows: pa.Table) -> pa.Table:
     """Of one bucket, the windows that are later than others, by piece; tables of documents pass."""
-    if rows["bucket"].iloc[0] < 0:
-        return rows[["base", "docs", "digests", "bounds", "offsets"]]  # lists as they came
-    key, extra, doc, place = (_read(rows[c], k) for c, k in (("key", np.uint64), ("extra", np.uint16), ("doc", np.int64), ("place", np.uint32)))
-    base = np.repeat(np.arange(len(rows)), [len(b) // 8 for b in rows["key"]])
+    names = ["base", "docs", "digests", "bounds", "offsets"]
+    if rows["bucket"][0].as_py() < 0:
+        return rows.select(names)
+    blobs = {c: rows[c].to_pylist() for c in ("key", "extra", "offsets", "doc", "place")}
+    key, extra, doc, place = (_read(blobs[c], k) for c, k in (("key", np.uint64), ("extra", np.uint16), ("doc", np.int64), ("place", np.uint32)))
+    base = np.repeat(np.arange(rows.num_rows), [len(b) // 8 for b in blobs["key"]])
     later = np.sort(_later(key, extra, doc, place)[0])
-    edges = np.searchsorted(base[later], np.arange(len(rows) + 1))
-    blobs = _slices(_read(rows["offsets"], np.uint32)[later], edges)
-    some = [i for i in range(len(rows)) if blobs[i]]
-    none = pd.Series([None] * len(some), dtype=object)
-    return pd.DataFrame({"base": rows["base"].to_numpy()[some], "docs": none, "digests": none, "bounds": none, "offsets": pd.Series([blobs[i] for i in some], dtype=object)})
+    edges = np.searchsorted(base[later], np.arange(rows.num_rows + 1))
+    found = _slices(_read(blobs["offsets"], np.uint32)[later], edges)
+    some = [i for i in range(rows.num_rows) if found[i]]
+    none = [pa.nulls(len(some), rows.schema.field(c).type) for c in names[1:4]]
+    return pa.table([rows["base"].take(pa.array(some, pa.int64())), *none, pa.array([found[i] for i in some], pa.binary())], names)
 
 
-def _by_document(rows: pd.DataFrame) -> pd.DataFrame:
+def _by_document(rows: pa.Table) -> pa.Table:
     """Of one piece of the corpus, the places of later windows in each document."""
-    out = {"id": [], "digest": [], "starts": []}
-    at = np.sort(_read([b for b in rows["offsets"] if b], np.uint32)).astype(np.int64)
-    table = rows[rows["docs"].notna()].iloc[0]
-    bounds = np.asarray(table["bounds"], np.int64)
+    at = np.sort(_read([b for b in rows["offsets"].to_pylist() if b], np.uint32)).astype(np.int64)
+    table = rows.filter(pc.is_valid(rows["docs"])).slice(0, 1).to_pylist()[0]
+    bounds = np.array(table["bounds"], np.int64)
     edges = np.searchsorted(at, bounds)
-    for i in np.nonzero(np.diff(edges))[0].tolist():
-        out["id"].append(table["docs"][i])
-        out["digest"].append(table["digests"][i])
-        out["starts"].append((at[edges[i] : edges[i + 1]] - bounds[i]).astype(np.uint32).tobytes())
-    ids = pd.array([None if v is None or v != v else int(v) for v in out["id"]], "Int64")
-    return pd.DataFrame({"id": ids, "digest": pd.Series(out["digest"], dtype=object), "starts": pd.Series(out["starts"], dtype=object)})
+    some = np.nonzero(np.diff(edges))[0].tolist()
+    starts = [(at[edges[i] : edges[i + 1]] - bounds[i]).astype(np.uint32).tobytes() for i in some]
+    return pa.table([pa.array([table["docs"][i] for i in some], pa.int64()), pa.array([table["digests"][i] for i in some], pa.string()), pa.array(starts, pa.binary())], ["id", "digest", "starts"])
 
 
 def repeated_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -216,8 +215,8 @@ def repeated_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", w
     schema = "base long, bucket int, docs array<long>, digests array<string>, bounds array<long>, key binary, extra binary, offsets binary, doc binary, place binary"
     digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
     rows = docs.select(F.col(doc).cast("long").alias("doc"), digest.alias("digest"), F.col(text).cast("string").alias("text"))
-    settled = rows.mapInArrow(scan, schema).groupBy("bucket").applyInPandas(_resolve, "base long, docs array<long>, digests array<string>, bounds array<long>, offsets binary")
-    of_docs = settled.groupBy("base").applyInPandas(_by_document, "id long, digest string, starts binary")
+    settled = rows.mapInArrow(scan, schema).groupBy("bucket").applyInArrow(_resolve, "base long, docs array<long>, digests array<string>, bounds array<long>, offsets binary")
+    of_docs = settled.groupBy("base").applyInArrow(_by_document, "id long, digest string, starts binary")
     return of_docs.groupBy(F.struct("id", "digest").alias("key")).agg(F.min("starts").alias("starts"))
 
 

@@ -54,6 +54,7 @@ def odd() -> list[tuple]:
         (5006, long, "aa", "s0", len(long)),
         (5007, "x" * 40_000, "aa", "s0", 40_000),
         (5008, "two words", "bb", "s0", 9),
+        ((1 << 62) + 1, "an id that no double holds and words that come again " * 3, "aa", "s1", 159),
     ]
 
 
