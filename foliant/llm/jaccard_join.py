@@ -253,14 +253,17 @@ def set_components(docs: DataFrame, width: int = 3, part: int = 90, whole: int =
     texts = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).join(F.broadcast(needed) if few else needed, "doc")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()  # of a task's repeated rows one is enough
         for batch in pieces(batches):
             sets = scheme.sets(batch.column("text"))
             prints = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+            names = batch.column("doc").to_pylist()
             own = np.nonzero(np.array(prints, np.int64) == batch.column("f1").to_numpy())[0].tolist()
+            own = [i for i in own if names[i] not in seen and not seen.add(names[i])]
             lists = pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))
             yield pa.record_batch([batch.column("doc").take(pa.array(own)), lists], ["doc", "shingles"])
 
-    sets = texts.select("doc", "text", "f1").mapInArrow(keep, f"doc {kind}, shingles array<long>").dropDuplicates(["doc"])
+    sets = checkpointed(texts.select("doc", "text", "f1").mapInArrow(keep, f"doc {kind}, shingles array<long>"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
