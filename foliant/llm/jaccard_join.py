@@ -261,11 +261,17 @@ def set_components(docs: DataFrame, width: int = 3, part: int = 90, whole: int =
             own = np.nonzero(np.array(prints, np.int64) == batch.column("f1").to_numpy())[0].tolist()
             own = [i for i in own if names[i] not in seen and not seen.add(names[i])]
             lists = pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column("doc").take(pa.array(own)), lists], ["doc", "shingles"])
+            counts = [np.minimum(np.bincount((sets[i] >> np.uint64(56)).astype(np.int64), minlength=256), 127).astype(np.int8) for i in own]
+            yield pa.record_batch([batch.column("doc").take(pa.array(own, pa.int64())), lists, pa.array(counts, pa.list_(pa.int8()))], ["doc", "shingles", "counts"])
 
-    sets = checkpointed(texts.select("doc", "text", "f1").mapInArrow(keep, f"doc {kind}, shingles array<long>"))
+    sets = checkpointed(texts.select("doc", "text", "f1").mapInArrow(keep, f"doc {kind}, shingles array<long>, counts array<tinyint>"))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        # sets differ at least as much as their counts of shingles in 256 parts of the hash space do
+        named = sets.select("doc", "counts", F.size("shingles").alias("n"))
+        rough = pairs.join(named.toDF("b", "cb", "nb"), "b").join(named.toDF("a", "ca", "na"), "a")
+        apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda t, x: t + x)
+        pairs = rough.where(apart * (whole + part) <= (F.col("na") + F.col("nb")) * (whole - part)).select("a", "b").distinct()
         joined = pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
         common = F.size(F.array_intersect("x", "y"))
         return joined.where(common * whole >= (F.size("x") + F.size("y") - common) * part).select("a", "b").distinct()
@@ -292,7 +298,7 @@ def set_components(docs: DataFrame, width: int = 3, part: int = 90, whole: int =
     many = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), many).cast("int")
     long = rest.where(F.col("members") > short_list).select("list", F.col("rep").alias("doc"), own.alias("block"), F.explode(F.sequence(F.lit(0), many - 1)).alias("other"))
-    long = long.join(sets, "doc").select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "shingles")
+    long = long.join(sets.select("doc", "shingles"), "doc").select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "shingles")
     blocks = long.groupBy("list", "i", "j").applyInPandas(of_blocks, f"a {kind}, b {kind}")
     links = checkpointed(links.union(verified(pairs)).union(blocks.distinct()))
     labels = connected_components(links)
