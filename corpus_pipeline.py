@@ -25,9 +25,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go, and documents that had nothing else; n_chars is that of the text left."""
-    clean = line_dedup.drop_boilerplate(docs).where((F.col("n_dropped") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
-    return clean.select(*[F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Boilerplate lines go; n_chars is that of the text left.
+
+    Copies are the next stage's work: a host's identical texts count as one page here, and a
+    document that would become blank stays as it was, so that one of its group is left.
+    """
+    clean = line_dedup.drop_boilerplate(docs.withColumn("__whole", F.col("text")), copies_once=True)
+    changed = (F.col("n_dropped") > 0) & (F.btrim("text", F.lit(" \t\r\n")) != "")
+    given = {"text": F.when(changed, F.col("text")).otherwise(F.col("__whole")), "n_chars": F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")}
+    return clean.select(*[given.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ host whose pages have m lines on average has at most m / ratio lines above the r
 
 Defined cases: null text stays null with no lines; blank lines always stay; a null host
 is a host of its own; an empty text has one blank line; ties at exactly the ratio stay.
-Columns named like the added ones are replaced.
+Columns named like the added ones are replaced. With ``copies_once`` a host's identical texts
+are one page on both sides of the ratio; ``min_pages`` always counts every row.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ def _key(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """``host_key`` and ``digests``, the array of MD5 digests of the host's boilerplate lines."""
-    pages = docs.select(_host_key(host).alias("host_key"), F.split(F.col(text).cast("string"), "\n").alias("lines")).where("lines is not null")
-    totals = pages.groupBy("host_key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    texts = docs.select(_host_key(host).alias("host_key"), F.col(text).cast("string").alias("text")).where("text is not null")
+    page = F.count_distinct(F.md5("text")) if copies_once else F.count("*")
+    totals = texts.groupBy("host_key").agg(F.count("*").alias("all"), page.alias("pages")).where(F.col("all") >= min_pages).drop("all")
+    pages = (texts.distinct() if copies_once else texts).select("host_key", F.split("text", "\n").alias("lines"))
     keys = F.array_distinct(F.transform("lines", _key))
     lines = pages.select("host_key", F.explode(keys).alias("line")).where("line <> ''")
     counts = lines.groupBy("host_key", F.md5("line").alias("digest")).agg(F.count("*").alias("n")).where("n > 1")
@@ -45,9 +48,9 @@ def _host_key(host: str) -> Column:
     return F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_digests: int = BROADCAST_DIGESTS, copies_once: bool = False) -> DataFrame:
     """``docs`` with ``text`` rid of boilerplate lines, and n_lines and n_dropped as long."""
-    found = checkpointed(boilerplate(docs, host, text, max_ratio, min_pages)).toDF("__host", "__digests")
+    found = checkpointed(boilerplate(docs, host, text, max_ratio, min_pages, copies_once)).toDF("__host", "__digests")
     size = found.agg(F.sum(F.size("__digests"))).first()[0] or 0
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     pages = docs.withColumn("__host", _host_key(host))

@@ -193,3 +193,20 @@ def test_pipeline_stages(spark):
     assert clean.columns == docs.columns and 0 < clean.count() <= kept.count()
     tokens = stage["bpe"](spark, clean, DATA)
     assert tokens.count() == clean.count()
+
+
+def test_copies_are_not_boilerplate(spark):
+    import corpus_pipeline as pipeline
+
+    stage = dict(pipeline.STAGES)
+    own = lambda name, n: "\n".join(" ".join(f"{name}{i}x{j}" for j in range(12)) for i in range(n))
+    body, parts = own("copy", 3), own("near", 16).split("\n")
+    texts = [f"menu of all\n{body}"] * 10 + [f"menu of all\n{own(f'page{i}y', 2)}" for i in range(20)]
+    near = ["\n".join(parts[:i] + parts[i + 1 :]) for i in range(10)] + [own(f"other{i}y", 2) for i in range(20)]
+    rows = [(i, t, "aa", "third", len(t)) for i, t in enumerate(texts)] + [(100 + i, t, "aa", "near", len(t)) for i, t in enumerate(near)]
+    lines = stage["line_dedup"](spark, documents(spark, rows), DATA).cache()
+    got = {r.doc_id: r.text for r in lines.collect()}
+    assert got == {d: t.removeprefix("menu of all\n") for d, t, *_ in rows}
+    assert all(r.n_chars == len(r.text) for r in lines.collect())
+    kept = stage["near_duplicates"](spark, lines, DATA)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(10, 30), 100, *range(110, 130)]
