@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard join of texts, skipping by the relations between sets.
 
 A text's set has its distinct shingles of ``width`` words. Sets link when
-``whole * |A and B| >= part * |A or B|``. All links count, and what comes back is each
-document's component, so links are found without writing out all pairs of a group:
+``whole * |A and B| >= part * |A or B|``. What comes back is each document's component and
+its links. Components are found first, without writing out all pairs of a group:
 
 * Equal sets share all answers, so only one of them is looked at.
 * The index lists sets by segment. Linked sets differ in at most D shingles, D following
@@ -18,6 +18,9 @@ document's component, so links are found without writing out all pairs of a grou
   replaced by its difference from what most members share. The size of the difference of
   two sets follows from that of their differences, which are small, so a set's answers
   derive from what is known of sets alike, shingle by changed shingle.
+* Links lie within components, so in the end all members of each component are compared
+  once, in blocks as above. A document's number of links, that of the different texts its
+  text links to, adds up over blocks and needs no row for each link.
 
 Shingles are 64-bit fingerprints; the rest is exact. Keys are dealt over buckets by hash,
 each task keeps one of its equal sets, and long lists split into pairs of blocks.
@@ -116,8 +119,8 @@ class Scheme:
                 out.append(np.empty(0, np.uint64))
         return out
 
-    def links(self, sets: list[np.ndarray], left: np.ndarray) -> list[tuple[int, int]]:
-        """Places of linked members, as a forest: in one block, or between two (``left`` tells them apart)."""
+    def linked(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Which members link, as a matrix; each is linked to itself."""
         n = len(sets)
         sizes = np.array([len(s) for s in sets], np.int64)
         values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -141,6 +144,11 @@ class Scheme:
         distance = differ[:, None] + differ[None, :] - 2 * np.rint(shared).astype(np.int64)
         linked = distance * (self.whole + self.part) <= (sizes[:, None] + sizes[None, :]) * (self.whole - self.part)
         np.fill_diagonal(linked, True)
+        return linked
+
+    def links(self, sets: list[np.ndarray], left: np.ndarray) -> list[tuple[int, int]]:
+        """Places of linked members, as a forest: in one block, or between two (``left`` tells them apart)."""
+        n, linked = len(sets), self.linked(sets)
         label = np.arange(n)
         while True:
             least = np.where(linked, label[None, :], n).min(1)
@@ -229,7 +237,24 @@ def _shared_keys(rows: pa.Table) -> pa.Table:
 
 
 def set_components(docs: DataFrame, width: int = 3, part: int = 90, whole: int = 100, doc: str = "doc_id", text: str = "text", short_list: int = SHORT_LIST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """``(rows, links)``: rows have doc, n_shingles and component_id, links (a, b) tie every component together."""
+    """``(rows, links)``: rows have doc, n_shingles and component_id.
+
+    Links (a, b) are all links between different texts, each of which is named by its least id, and
+    a < b. They are found when they are read; a group of near copies has as many as its square.
+    """
+    rows, links, _ = _solve(docs, width, part, whole, doc, text, short_list, block)
+    return rows.drop("rep"), links
+
+
+def counted_components(docs: DataFrame, width: int = 3, part: int = 90, whole: int = 100, doc: str = "doc_id", text: str = "text", short_list: int = SHORT_LIST, block: int = BLOCK) -> DataFrame:
+    """doc, n_shingles, component_id and n_links, the number of different texts that the document's text links to."""
+    rows, _, counts = _solve(docs, width, part, whole, doc, text, short_list, block)
+    n_links = F.when(F.col("doc").isNotNull(), F.coalesce("n_links", F.lit(0)).cast("long"))
+    return rows.join(counts, "rep", "left").select("doc", "n_shingles", "component_id", n_links.alias("n_links"))
+
+
+def _solve(docs: DataFrame, width: int, part: int, whole: int, doc: str, text: str, short_list: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with doc, n_shingles, component_id and rep; links (a, b); counts (rep, n_links)."""
     scheme = Scheme(width, part, whole)
     kind = docs.schema[doc].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
@@ -303,7 +328,34 @@ def set_components(docs: DataFrame, width: int = 3, part: int = 90, whole: int =
     links = checkpointed(links.union(verified(pairs)).union(blocks.distinct()))
     labels = connected_components(links)
 
-    component = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("component_id"))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
+    many = F.ceil(F.col("members") / block).cast("int")
+    inside = labels.join(sizes, "label").select(F.col("node").alias("doc"), "label", many.alias("many"), F.pmod(F.xxhash64("node"), many).cast("int").alias("block"))
+    # components of one block travel together, larger ones as pairs of their blocks
+    inside = inside.join(sets.select("doc", "shingles"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    inside = inside.select("label", "doc", "block", "shingles", F.xxhash64("label").alias("h"), F.col("many") > 1, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).toDF("label", "doc", "block", "shingles", "h", "cut", "i", "j")
+    inside = inside.withColumn("h", F.when(F.col("cut"), F.col("h")).otherwise(F.pmod("h", F.lit(buckets)))).groupBy("cut", "h", "i", "j")
+
+    def matrices(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, rows in rows.groupby("label"):
+            rows = rows.sort_values("doc")
+            linked = scheme.linked([np.asarray(s, np.int64) for s in rows["shingles"]])
+            np.fill_diagonal(linked, False)
+            own = rows["block"].to_numpy()
+            if rows["i"].iat[0] < rows["j"].iat[0]:  # one of the two blocks may be empty
+                linked &= own[:, None] != own[None, :]
+            yield rows["doc"].to_numpy(), linked
+
+    def all_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [(ids, *np.nonzero(np.triu(linked))) for ids, linked in matrices(rows)]
+        return pd.DataFrame({"a": np.concatenate([ids[x] for ids, x, _ in found]), "b": np.concatenate([ids[y] for ids, _, y in found])})
+
+    def all_counts(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [(ids, linked.sum(1)) for ids, linked in matrices(rows)]
+        return pd.DataFrame({"rep": np.concatenate([ids for ids, _ in found]), "k": np.concatenate([k for _, k in found])})
+
+    counts = inside.applyInPandas(all_counts, f"rep {kind}, k long").groupBy("rep").agg(F.sum("k").alias("n_links"))
+    component = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", "rep", F.coalesce("label", "rep").alias("component_id"))
     rows = units.join(component, ["n", "f1", "f2"], "left")
     named = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
-    return rows.select("doc", F.col("n").alias("n_shingles"), named.alias("component_id")), links
+    return rows.select("doc", F.col("n").alias("n_shingles"), named.alias("component_id"), "rep"), inside.applyInPandas(all_pairs, f"a {kind}, b {kind}"), counts

@@ -48,9 +48,9 @@ SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .jaccard_join import set_components
+    from .jaccard_join import counted_components
 
-    rows, _ = set_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, part=90, whole=100)
+    rows = counted_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, part=90, whole=100)
     return rows.withColumnRenamed("doc", "doc_id")
 
 

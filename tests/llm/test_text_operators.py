@@ -98,6 +98,28 @@ def test_jaccard_components(spark, width, part, short, block):
     assert links.count() > 0
 
 
+@pytest.mark.parametrize(("width", "part", "short", "block"), [(3, 90, 24, 256), (5, 80, 2, 3), (2, 60, 24, 1)])
+def test_jaccard_links(spark, width, part, short, block):
+    rows = prose(4, 160) + odd()
+    sets, names = {}, {}
+    for doc, text, *_ in rows:
+        w = words(lower(text))
+        s = frozenset(tuple(w[j : j + width]) for j in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+        if doc is not None:
+            sets[doc] = s
+            names[s] = min(names.get(s, doc), doc)
+    reps = sorted(d for s, d in names.items() if s)
+    want = [(a, b) for i, a in enumerate(reps) for b in reps[i + 1 :] if 100 * len(sets[a] & sets[b]) >= part * len(sets[a] | sets[b])]
+    data = documents(spark, rows)
+    _, links = jaccard_join.set_components(data, width, part, 100, short_list=short, block=block)
+    assert sorted(map(tuple, links.collect())) == want
+    counts = Counter(d for pair in want for d in pair)
+    found = jaccard_join.counted_components(data, width, part, 100, short_list=short, block=block)
+    got = sorted([(r.doc, r.n_links) for r in found.collect()], key=key)
+    assert got == sorted([(d, None if d is None else counts[names[sets[d]]]) for d, *_ in rows], key=key)
+    assert len(want) > len({b for _, b in want})  # more than any forest has
+
+
 def test_jaccard_of_nothing(spark):
     found, links = jaccard_join.set_components(documents(spark, []))
     assert found.count() == 0 and links.count() == 0
