@@ -1,9 +1,10 @@
 """A Brown class-based bigram model of a corpus, and the scores of its texts.
 
-Exchange clustering moves each of the most frequent words to the class that most
-raises the likelihood of the training text's class bigrams; other listed words are
-grouped by how often they occur, and all words that are not listed form one class, in
-which unseen words have a share; words seen once are never listed, so that this class
+Exchange clustering moves each listed word to the class that most raises the likelihood
+of the training text's class bigrams. The most frequent words are clustered first, from
+their own bigrams; then sweeps over all listed words gather how often each meets each
+class on either side, until few words move or the likelihood no longer rises. All words
+that are not listed form one class, in which unseen words have a share; words seen once are never listed, so that this class
 tells how likely a word is to be new. A text's log10 probability sums, over its words
 and one end, the logarithm of the class transition times the word's share of its class,
 mixed with the smoothed share of the word in the whole corpus.
@@ -28,13 +29,15 @@ from .arrow_text import partial_counts, pieces, split_words
 from .frequency import most_frequent
 from .storage import checkpointed
 
-#: Words with ids of their own, clustered ones among them, classes, and sweeps over the words.
+#: Words with ids of their own, those clustered first, classes, and sweeps over the latter.
 LISTED, CLUSTERED, CLASSES, SWEEPS = 131_072, 1_500, 48, 3
 #: Weight of a class's overall share in its transitions.
 PRIOR = 50.0
 #: Share of the class model in the mixture with plain frequencies.
 MIX = 0.8
 BUCKETS = 24
+#: Sweeps over all listed words end when at most this share of them moves, or after so many.
+FEW, ALL_SWEEPS = 0.01, 8
 
 
 def training(doc: str = "doc_id") -> Column:
@@ -95,6 +98,46 @@ def exchange_clusters(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -
     return group
 
 
+def _xlog(x: np.ndarray) -> np.ndarray:
+    x = np.maximum(x, 0)
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(counts: np.ndarray) -> float:
+    """What of the likelihood of class bigrams depends on the classes."""
+    return float(_xlog(counts).sum() - _xlog(counts.sum(0)).sum() - _xlog(counts.sum(1)).sum())
+
+
+def exchange_sweep(group: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray, classes: int) -> tuple[np.ndarray, int]:
+    """Classes after each word but the last two units moved once, and how many moved.
+
+    ``out`` and ``into`` tell how often each unit stands before and behind each class as it is at the start.
+    """
+    group, moved = group.copy(), 0
+    counts = np.zeros((out.shape[1],) * 2)
+    np.add.at(counts, group, out)
+    diagonal, free = np.arange(len(counts)), np.arange(classes)
+    for w in range(len(group) - 2):
+        a, ahead, behind, self_ = group[w], out[w].astype(np.float64), into[w].astype(np.float64), own[w]
+        ahead[a] -= min(self_, ahead[a])
+        behind[a] -= min(self_, behind[a])
+        counts[a, :] -= ahead
+        counts[:, a] -= behind
+        counts[a, a] -= self_
+        base = _xlog(counts)
+        gain = (_xlog(counts + ahead) - base).sum(1) + (_xlog(counts + behind[:, None]) - base).sum(0)
+        corner, rows, columns = counts[diagonal, diagonal], counts.sum(1), counts.sum(0)
+        gain += _xlog(corner + ahead + behind + self_) - _xlog(corner + ahead) - _xlog(corner + behind) + _xlog(corner)
+        gain -= _xlog(rows + ahead.sum() + self_) - _xlog(rows) + _xlog(columns + behind.sum() + self_) - _xlog(columns)
+        b = int(np.argmax(gain[:classes] + 1e-9 * (free == a)))
+        counts[b, :] += ahead
+        counts[:, b] += behind
+        counts[b, b] += self_
+        moved += b != a
+        group[w] = b
+    return group, moved
+
+
 class Model:
     """What scoring needs of a corpus, apart from the counts of unlisted words."""
 
@@ -128,18 +171,22 @@ class Model:
         units[place] = np.where(ids >= 0, self.unit[ids], self.other) if len(self.unit) else self.other
         return units, bounds + np.arange(len(bounds)), place
 
-    def learn(self, bigrams: np.ndarray) -> None:
-        """Classes, transitions and shares from the bigram table of units."""
-        k, tail = self.clustered, self.units - self.clustered
-        bigrams = bigrams.copy()
-        bigrams[:, self.other] *= 1 + self.once / max(1.0, self.unlisted_tokens)  # new words are as likely as words seen once
+    def start(self, bigrams: np.ndarray) -> None:
+        """Classes of the most frequent words from the bigram table of units; from now on each listed word is a unit."""
+        k, n = self.clustered, len(self.counts)
         groups = exchange_clusters(bigrams[:k, :k], CLASSES) if k else np.empty(0, np.int64)
-        fixed = int(groups.max(initial=-1)) + 1
-        self.group = np.concatenate([groups, fixed + np.arange(tail)])
-        n = fixed + tail
-        member = np.zeros((self.units, n))
-        member[np.arange(self.units), self.group] = 1
-        counts = member.T @ bigrams @ member
+        self.classes = int(groups.max(initial=-1)) + 1
+        self.unit = np.arange(n)
+        self.units, self.other, self.end = n + 2, n, n + 1
+        #: Words without a class yet count as unlisted.
+        self.group = np.full(n + 2, self.classes, np.int64)
+        self.group[:k], self.group[-1] = groups, self.classes + 1
+
+    def learn(self, counts: np.ndarray) -> None:
+        """Transitions and shares from the table of class bigrams; classes without words go."""
+        used, self.group = np.unique(self.group, return_inverse=True)
+        counts, n = counts[np.ix_(used, used)].astype(np.float64), len(used)
+        counts[:, self.group[self.other]] *= 1 + self.once / max(1.0, self.unlisted_tokens)  # new words are as likely as words seen once
         share = (counts.sum(0) + 0.5) / (counts.sum() + 0.5 * n)
         self.transitions = np.log10((counts + PRIOR * share) / (counts.sum(1, keepdims=True) + PRIOR))
         mass = np.bincount(self.group[self.unit], self.counts, n) if len(self.counts) else np.zeros(n)
@@ -181,6 +228,27 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def neighbours(chains: DataFrame, group: np.ndarray, end: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each unit stands before each class, behind it, and before itself."""
+    shared, slots = chains.sparkSession.sparkContext.broadcast(group), 2 * classes + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = shared.value
+        for batch in batches:
+            for blob in batch.column("units").to_pylist():
+                units = np.frombuffer(blob, np.int32).astype(np.int64)
+                before = np.concatenate([[end], units[:-1]])[: len(units)]
+                same = units[units == before]
+                keys, n = np.unique(np.concatenate([before * slots + group[units], units * slots + classes + group[before], same * slots + 2 * classes]), return_counts=True)
+                yield pa.record_batch([pa.array(keys), pa.array(n)], ["key", "n"])
+
+    rows = chains.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most units times slots
+    table = np.zeros(len(group) * slots)
+    table[rows["key"].to_numpy()] = rows["n"].to_numpy()
+    table = table.reshape(len(group), slots)
+    return table[:, :classes], table[:, classes : 2 * classes], table[:, -1]
+
+
 def train(docs: DataFrame, text: str = "text", listed: int = LISTED) -> tuple[Model, DataFrame]:
     """The model of all texts in ``docs``, and the counts of all words."""
     counts = checkpointed(word_counts(docs, text))
@@ -206,7 +274,29 @@ def train(docs: DataFrame, text: str = "text", listed: int = LISTED) -> tuple[Mo
     rows = found.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most units squared
     bigrams = np.zeros(model.units * model.units)
     bigrams[rows["pair"].to_numpy()] = rows["n"].to_numpy()
-    model.learn(bigrams.reshape(model.units, model.units))
+    model.start(bigrams.reshape(model.units, model.units))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            ids, bounds, _ = shared.value.tokens_of(batch.column("text"))
+            yield pa.record_batch([pa.array([shared.value.chain(ids, bounds)[0].astype(np.int32).tobytes()], pa.binary())], ["units"])
+
+    chains = checkpointed(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(coded, "units binary"))
+    best, before, moved = None, model.group, len(model.group)
+    for sweep in range(ALL_SWEEPS + 1):
+        out, into, own = neighbours(chains, model.group, model.end, model.classes + 2)
+        table = np.zeros((model.classes + 2,) * 2)
+        np.add.at(table, model.group, out)
+        # the first sweep gives the rest their classes, which no longer count as unlisted
+        if sweep > 1 and likelihood(table) < likelihood(best):
+            model.group = before
+            break
+        best, before = table, model.group
+        if sweep == ALL_SWEEPS or moved <= FEW * len(model.group) or not model.classes:
+            break
+        model.group, moved = exchange_sweep(model.group, out, into, own, model.classes)
+    model.learn(best)
     return model, counts
 
 

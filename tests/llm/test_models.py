@@ -111,6 +111,19 @@ def test_exchange_raises_the_likelihood():
     assert likelihood(group) > 1.02 * likelihood(truth)  # both are negative
 
 
+def test_rare_words_are_classed_by_context(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "CLUSTERED", 20)
+    monkeypatch.setattr(class_lm, "CLASSES", 2)
+    rng = np.random.default_rng(7)
+    name = lambda kind: f"{kind}{rng.integers(10) if rng.random() < 0.7 else rng.integers(10, 60)}"
+    rows = [(i, " ".join(name("ab"[j % 2]) for j in range(40)), "aa", "s", 1) for i in range(200)]
+    model, _ = class_lm.train(documents(spark, rows))
+    groups = {w: model.group[model.unit[i]] for w, i in model.index.items()}
+    assert len(groups) > 100
+    assert len({g for w, g in groups.items() if w.startswith(b"a")}) == 1 == len({g for w, g in groups.items() if w.startswith(b"b")})
+    assert groups[b"a50"] != groups[b"b50"]
+
+
 def test_probabilities_of_next_words_sum_to_one(spark):
     docs = documents(spark, prose(8, 60))
     model, counts = class_lm.train(docs, listed=50)
