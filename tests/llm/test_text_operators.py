@@ -135,7 +135,7 @@ def test_blocks_link_like_pairs():
         some = rng.integers(0, 200, rng.integers(0, 40))
         s[some] = rng.integers(0, 1 << 62, len(some))
         sets.append(np.unique(s))
-    forest = scheme.links(sets, np.zeros(60))
+    forest = scheme.forest(sets)
     label = list(range(60))
     for a, b in forest:
         label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
@@ -146,17 +146,16 @@ def test_blocks_link_like_pairs():
                 assert label[i] == label[j]
 
 
-def test_linked_sets_share_a_list():
+def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(6)
-    for part in (60, 80, 90):
+    for part in (60, 80, 90, 100):
         scheme = jaccard_join.Scheme(3, part, 100)
         for _ in range(400):
-            n = int(rng.integers(1, 60))
-            a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
-            b = np.union1d(a[rng.random(len(a)) < 0.95], rng.integers(0, 1 << 62, int(rng.integers(0, 4))).astype(np.uint64))
+            a = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 60))))
+            b = np.union1d(a[rng.random(len(a)) < 0.95], rng.integers(0, 1 << 62, int(rng.integers(0, 4))))
             common = len(np.intersect1d(a, b))
             if len(b) and 100 * common >= part * (len(a) + len(b) - common):
-                assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b)))
+                assert len(np.intersect1d(a[: scheme.prefix(len(a))], b[: scheme.prefix(len(b))]))
 
 
 @pytest.mark.parametrize("width", [20, 4])
