@@ -1,7 +1,16 @@
 """From raw documents to token ids: five stages, each of which works on all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
-the columns of ``documents``.
+the columns of ``documents``, in their order. Between stages rows are Parquet tables in the
+shared folder.
+
+Defined cases, in every stage: an empty table gives an empty one; extra columns pass through
+all stages but the last, whatever their names, except that names that begin with two
+underscores are reserved; very long texts are read whole. A null text goes in the first
+stage, as does one without letters; the others keep it. A null id is kept by all. Repeated
+rows pass the first two stages and are one group in the third. Ties: a probability of
+exactly one half stays, as do a line on exactly the ratio of pages and, of a group, the
+least id; two texts of exactly the similarity are near duplicates.
 """
 
 from __future__ import annotations
@@ -10,18 +19,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup
 from foliant.llm.queries import table, tokenizer_path
-from foliant.llm.storage import checkpointed
+from foliant.llm.storage import checkpointed, release
 
 #: Near duplicates: shingles of five words, similarity of 80 of 100 or more.
 SHINGLE, PART, WHOLE = 5, 80, 100
 
 
+def _hidden(docs: DataFrame, *read: str) -> DataFrame:
+    """``docs`` with all columns but those that are ``read`` named with two underscores, so that no operator's column replaces one."""
+    return docs.select(*[F.col(c).alias(c if c in read else f"__{c}") for c in docs.columns])
+
+
+def _shown(found: DataFrame, docs: DataFrame, *read: str) -> DataFrame:
+    return found.select(*[F.col(c if c in read else f"__{c}").alias(c) for c in docs.columns])
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay; those without letters or with a pooled probability below one half go."""
     network = language_id.train(docs.where(~language_id.held_out()))
-    found = language_id.predict(docs.withColumnRenamed("lang", "__lang").withColumnRenamed("source", "__source"), network)
-    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.MIN_SCORE))
-    return kept.select(*[F.col({"lang": "__lang", "source": "__source"}.get(c, c)).alias(c) for c in docs.columns])
+    found = language_id.predict(_hidden(docs, "text"), network)
+    return _shown(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.MIN_SCORE)), docs, "text")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,24 +47,24 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Copies are the next stage's work: a host's identical texts count as one page here, and a
     document that would become blank stays as it was, so that one of its group is left.
     """
-    clean = line_dedup.drop_boilerplate(docs.withColumn("__whole", F.col("text")), copies_once=True)
+    clean = line_dedup.drop_boilerplate(_hidden(docs, "text", "source").withColumn("__whole", F.col("text")), copies_once=True)
     changed = (F.col("n_dropped") > 0) & (F.btrim("text", F.lit(" \t\r\n")) != "")
-    given = {"text": F.when(changed, F.col("text")).otherwise(F.col("__whole")), "n_chars": F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")}
-    return clean.select(*[given.get(c, F.col(c)).alias(c) for c in docs.columns])
+    clean = clean.withColumn("__n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("__n_chars")).cast("long"))
+    return _shown(clean.withColumn("text", F.when(changed, F.col("text")).otherwise(F.col("__whole"))), docs, "text", "source")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; rows without words or id stay."""
-    rows, _ = jaccard_join.set_components(docs, SHINGLE, PART, WHOLE)
-    gone = rows.where("doc <> component_id").select(F.col("doc").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Of each group of near duplicates the document with the least id stays, once if its row repeats.
+
+    Rows without words or id stay, and so does a row whose id another row shares, unless its own text goes.
+    """
+    return jaccard_join.drop_near_duplicates(docs, SHINGLE, PART, WHOLE)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(docs.columns)
+    found = decontaminate.decontaminate(_hidden(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return _shown(found.where(~F.col("contaminated")), docs, "doc_id", "text")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +86,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = checkpointed(docs)
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, checkpointed(stage(spark, docs, sf_dir))
+        release(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
