@@ -13,8 +13,12 @@ Counts are taken from every training text. The ``LISTED`` most frequent words tr
 the workers; the counts of all others, whose number grows with the corpus, are joined by
 word. Score and base score therefore hold for any vocabulary.
 
-Defined cases: null text is empty and has only its end; a null id counts as the text "";
-repeated rows are rows of their own; without training texts all words are unseen.
+Defined cases: null text is empty and has only its end, and so have empty and blank texts;
+a null id counts as the text ""; repeated rows are rows of their own, in training too; a
+very long text is one text, and no count depends on how it is cut; words of equal count are
+listed in the order of their bytes, and a word for which two classes are as good stays, or
+takes the lower one; without training texts all words are unseen, and a table without rows
+to score gives none. Other columns of the scored table are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrow_text import partial_counts, pieces, split_words
 from .frequency import most_frequent
-from .storage import checkpointed
+from .storage import checkpointed, release
 
 #: Words with ids of their own, those clustered first, classes, and sweeps over the latter.
 LISTED, CLUSTERED, CLASSES, SWEEPS = 131_072, 1_500, 48, 3
@@ -36,8 +40,8 @@ PRIOR = 50.0
 #: Share of the class model in the mixture with plain frequencies.
 MIX = 0.8
 BUCKETS = 24
-#: Sweeps over all listed words end when at most this share of them moves, or after so many.
-FEW, ALL_SWEEPS = 0.01, 8
+#: Sweeps over all listed words end when at most this share of them moves, or after so many; words that move together.
+FEW, ALL_SWEEPS, BATCH = 0.01, 8, 256
 
 
 def training(doc: str = "doc_id") -> Column:
@@ -108,36 +112,65 @@ def likelihood(counts: np.ndarray) -> float:
     return float(_xlog(counts).sum() - _xlog(counts.sum(0)).sum() - _xlog(counts.sum(1)).sum())
 
 
-def exchange_sweep(group: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray, classes: int) -> tuple[np.ndarray, int]:
+def exchange_sweep(group: np.ndarray, unit: np.ndarray, slot: np.ndarray, n: np.ndarray, classes: int, batch: int = BATCH) -> tuple[np.ndarray, int]:
     """Classes after each word but the last two units moved once, and how many moved.
 
-    ``out`` and ``into`` tell how often each unit stands before and behind each class as it is at the start.
+    Rows (``unit``, ``slot``, ``n``), sorted, tell how often each unit stands before each class as it is at the
+    start (slots from 0), behind it (slots behind these), and before itself (the last slot). Words move in
+    batches, each to the class that is best for it while all others of its batch stay where they are.
     """
-    group, moved = group.copy(), 0
-    counts = np.zeros((out.shape[1],) * 2)
-    np.add.at(counts, group, out)
-    diagonal, free = np.arange(len(counts)), np.arange(classes)
-    for w in range(len(group) - 2):
-        a, ahead, behind, self_ = group[w], out[w].astype(np.float64), into[w].astype(np.float64), own[w]
-        ahead[a] -= min(self_, ahead[a])
-        behind[a] -= min(self_, behind[a])
-        counts[a, :] -= ahead
-        counts[:, a] -= behind
-        counts[a, a] -= self_
-        base = _xlog(counts)
-        gain = (_xlog(counts + ahead) - base).sum(1) + (_xlog(counts + behind[:, None]) - base).sum(0)
-        corner, rows, columns = counts[diagonal, diagonal], counts.sum(1), counts.sum(0)
-        gain += _xlog(corner + ahead + behind + self_) - _xlog(corner + ahead) - _xlog(corner + behind) + _xlog(corner)
-        gain -= _xlog(rows + ahead.sum() + self_) - _xlog(rows) + _xlog(columns + behind.sum() + self_) - _xlog(columns)
-        b = int(np.argmax(gain[:classes] + 1e-9 * (free == a)))
-        counts[b, :] += ahead
-        counts[:, b] += behind
-        counts[b, b] += self_
-        moved += b != a
-        group[w] = b
+    group, moved, k = group.copy(), 0, (_slots(classes) - 1) // 2
+    counts = np.zeros((k, k))
+    first = slot < k
+    np.add.at(counts, (group[unit[first]], slot[first]), n[first])
+    words = len(group) - 2
+    batch = max(1, min(batch, words // 64))
+    edges = np.searchsorted(unit, np.append(np.arange(0, words, batch), words))
+    for at, (x, y) in zip(range(0, words, batch), zip(edges, edges[1:])):
+        size = min(batch, words - at)
+        dense = np.zeros((size, 2 * k + 1))
+        dense[unit[x:y] - at, slot[x:y]] = n[x:y]
+        ahead, behind, own = dense[:, :k], dense[:, k : 2 * k], dense[:, 2 * k]
+        rows, now = np.arange(size), group[at : at + size]
+        ahead[rows, now] = np.maximum(ahead[rows, now] - own, 0)
+        behind[rows, now] = np.maximum(behind[rows, now] - own, 0)
+        gain = np.zeros((size, k))
+        for part, other, table in ((ahead, behind, counts.T), (behind, ahead, counts)):
+            w, d = np.nonzero(part)
+            if len(w) == 0:
+                continue
+            v, a = part[w, d], now[w]
+            cells = table[d]  # what each class has with d, less what the word gives its own class
+            cells[np.arange(len(w)), a] -= v
+            same = np.nonzero(d == a)[0]
+            cells[same] -= other[w[same]]
+            cells[same, a[same]] -= own[w[same]]
+            starts = np.nonzero(np.diff(w, prepend=-1))[0]
+            gain[w[starts]] += np.add.reduceat(_xlog(cells + v[:, None]) - _xlog(cells), starts)
+        corner = np.tile(np.diagonal(counts), (size, 1))
+        corner[rows, now] -= ahead[rows, now] + behind[rows, now] + own
+        gain += _xlog(corner + ahead + behind + own[:, None]) - _xlog(corner + ahead) - _xlog(corner + behind) + _xlog(corner)
+        for total, part in ((counts.sum(1), ahead), (counts.sum(0), behind)):
+            mass = (part.sum(1) + own)[:, None]
+            left = np.tile(total, (size, 1))
+            left[rows, now] -= mass[:, 0]
+            gain -= _xlog(left + mass) - _xlog(left)
+        gain[rows, now] += 1e-9
+        best = np.argmax(gain[:, :classes], 1)
+        gone = np.nonzero(best != now)[0]
+        for sign, c in ((-1, now[gone]), (1, best[gone])):
+            np.add.at(counts, c, sign * ahead[gone])
+            np.add.at(counts.T, c, sign * behind[gone])
+            np.add.at(counts, (c, c), sign * own[gone])
+        group[at : at + size] = best
+        moved += len(gone)
     return group, moved
 
 
+def _slots(classes: int) -> int:
+    return 2 * (classes + 2) + 1
+
+
 class Model:
     """What scoring needs of a corpus, apart from the counts of unlisted words."""
 
@@ -229,24 +262,25 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def neighbours(chains: DataFrame, group: np.ndarray, end: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How often each unit stands before each class, behind it, and before itself."""
+    """How often each unit stands before each class, behind it, and before itself: units, slots and counts, sorted."""
     shared, slots = chains.sparkSession.sparkContext.broadcast(group), 2 * classes + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = shared.value
+        held: list[pa.Table] = []
         for batch in batches:
             for blob in batch.column("units").to_pylist():
                 units = np.frombuffer(blob, np.int32).astype(np.int64)
                 before = np.concatenate([[end], units[:-1]])[: len(units)]
                 same = units[units == before]
                 keys, n = np.unique(np.concatenate([before * slots + group[units], units * slots + classes + group[before], same * slots + 2 * classes]), return_counts=True)
-                yield pa.record_batch([pa.array(keys), pa.array(n)], ["key", "n"])
+                held.append(pa.table([pa.array(keys), pa.array(n)], ["key", "n"]))
+        if held:  # a task's sums, at most units times slots
+            yield from pa.concat_tables(held).group_by("key").aggregate([("n", "sum")]).rename_columns(["key", "n"]).to_batches()
 
-    rows = chains.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most units times slots
-    table = np.zeros(len(group) * slots)
-    table[rows["key"].to_numpy()] = rows["n"].to_numpy()
-    table = table.reshape(len(group), slots)
-    return table[:, :classes], table[:, classes : 2 * classes], table[:, -1]
+    rows = chains.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow().sort_by("key")  # at most units times slots
+    key = rows["key"].to_numpy()
+    return key // slots, key % slots, rows["n"].to_numpy()
 
 
 def train(docs: DataFrame, text: str = "text", listed: int = LISTED) -> tuple[Model, DataFrame]:
@@ -283,11 +317,12 @@ def train(docs: DataFrame, text: str = "text", listed: int = LISTED) -> tuple[Mo
             yield pa.record_batch([pa.array([shared.value.chain(ids, bounds)[0].astype(np.int32).tobytes()], pa.binary())], ["units"])
 
     chains = checkpointed(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(coded, "units binary"))
-    best, before, moved = None, model.group, len(model.group)
+    best, before, moved, k = None, model.group, len(model.group), model.classes + 2
     for sweep in range(ALL_SWEEPS + 1):
-        out, into, own = neighbours(chains, model.group, model.end, model.classes + 2)
-        table = np.zeros((model.classes + 2,) * 2)
-        np.add.at(table, model.group, out)
+        unit, slot, n = neighbours(chains, model.group, model.end, k)
+        ahead = slot < k
+        table = np.zeros((k, k))
+        np.add.at(table, (model.group[unit[ahead]], slot[ahead]), n[ahead])
         # the first sweep gives the rest their classes, which no longer count as unlisted
         if sweep > 1 and likelihood(table) < likelihood(best):
             model.group = before
@@ -295,7 +330,8 @@ def train(docs: DataFrame, text: str = "text", listed: int = LISTED) -> tuple[Mo
         best, before = table, model.group
         if sweep == ALL_SWEEPS or moved <= FEW * len(model.group) or not model.classes:
             break
-        model.group, moved = exchange_sweep(model.group, out, into, own, model.classes)
+        model.group, moved = exchange_sweep(model.group, unit, slot, n, model.classes)
+    release(chains)
     model.learn(best)
     return model, counts
 

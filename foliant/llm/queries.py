@@ -112,7 +112,8 @@ def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, counts = train(docs.where(training()))
-    return score(docs, model, counts).withColumn("held_out", held_out())
+    found = score(docs, model, counts).withColumn("held_out", held_out())
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,10 +88,78 @@ def test_class_model_scores(spark):
         assert all(r.score < 0 and r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) for r in found)
 
 
+@pytest.mark.parametrize("listed", [class_lm.LISTED, 40])
+def test_class_scores_are_those_of_plain_counts(spark, listed):
+    rows = prose(8, 80) + odd()
+    docs = documents(spark, rows)
+    model, counts = class_lm.train(docs.where(class_lm.training()), listed=listed)
+    tokens = lambda t: (t or "").encode().lower().split()
+    learnt = [tokens(t) for d, t, *_ in rows if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2]
+    seen = Counter(w for t in learnt for w in t)
+    unlisted, end = int(model.group[model.other]), int(model.group[model.end])
+    group = lambda w: int(model.group[model.unit[model.index[w]]]) if w in model.index else unlisted
+    assert len(model.index) == min(listed, sum(n > 1 for n in seen.values())) or listed == 40
+    k, moves = len(model.transitions), Counter()
+    for t in learnt:
+        chain = [end, *map(group, t), end]
+        moves.update(zip(chain, chain[1:]))
+    rest = sum(n for w, n in seen.items() if w not in model.index)
+    new = 1 + sum(n == 1 for n in seen.values()) / max(1, rest)
+    cell = lambda a, b: moves[a, b] * (new if b == unlisted else 1)
+    total = sum(cell(a, b) for a in range(k) for b in range(k))
+    into = [sum(cell(a, b) for a in range(k)) for b in range(k)]
+    out = [sum(cell(a, b) for b in range(k)) for a in range(k)]
+    step = lambda a, b: (cell(a, b) + class_lm.PRIOR * (into[b] + 0.5) / (total + 0.5 * k)) / (out[a] + class_lm.PRIOR)
+    mass = Counter()
+    for w in model.index:
+        mass[group(w)] += seen[w]
+    n, v = sum(seen.values()) + len(learnt), len(seen) + 1
+    kinds = sum(w not in model.index for w in seen)
+
+    def emit(w):
+        return seen[w] / mass[group(w)] if w in model.index else (seen[w] + 1) / (rest + kinds + 1)
+
+    def plain(text):
+        words, before, found = tokens(text), end, 0.0
+        for w in words:
+            found += log10(class_lm.MIX * step(before, group(w)) * emit(w) + (1 - class_lm.MIX) * (seen[w] + 1) / (n + v))
+            before = group(w)
+        return found + log10(class_lm.MIX * step(before, end) + (1 - class_lm.MIX) * (len(learnt) + 1) / (n + v))
+
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in class_lm.score(docs, model, counts).collect())
+    want = sorted((str(d), len(tokens(t)) + 1, plain(t)) for d, t, *_ in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_words_move_to_the_best_class():
+    rng = np.random.default_rng(0)
+    classes, k = 5, 7
+    p = 1 / np.arange(1, 61)
+    chain = rng.choice(60, 3000, p=p / p.sum())
+    start = np.append(rng.integers(0, classes, 60), [classes, classes + 1])
+
+    def table(group):
+        counts = np.zeros((k, k))
+        np.add.at(counts, (group[chain[:-1]], group[chain[1:]]), 1)
+        return counts
+
+    for word in range(60):
+        order = np.arange(62)
+        order[0], order[word] = word, 0  # the word moves first
+        group, one, two = start[order], order[chain[:-1]], order[chain[1:]]
+        keys = np.concatenate([one * 15 + group[two], two * 15 + k + group[one], two[one == two] * 15 + 2 * k])
+        keys, n = np.unique(keys, return_counts=True)
+        moved, _ = class_lm.exchange_sweep(group, keys // 15, keys % 15, n, classes, batch=1)
+        best = [class_lm.likelihood(table(np.where(np.arange(62) == word, c, start))) for c in range(classes)]
+        assert best[moved[0]] == pytest.approx(max(best))
+
+
 def test_class_model_without_training_texts(spark):
     docs = documents(spark, odd())
     model, counts = class_lm.train(docs.where("false"))
     assert class_lm.score(docs, model, counts).count() == len(odd())
+    model, counts = class_lm.train(docs)
+    assert class_lm.score(docs.limit(0), model, counts).count() == 0
 
 
 def test_exchange_raises_the_likelihood():
