@@ -21,7 +21,12 @@ in a third of all documents is a few bytes for each of its occurrences; in the s
 each piece settles what repeats within it, and sends only its earliest window of each key.
 Texts are shuffled once, when the words that stay are written.
 
-Ids are integers. Defined cases: null texts have no words; documents of fewer words than a
+A passage that all texts share takes one entry of each piece in the bucket of its anchor, 26
+bytes for each of at most ``width`` / 2 + 1 windows. The bitmap has a bit for 8 bytes of text up to
+4 GB of it; beyond that more windows than need be are looked at in the second pass.
+
+Ids are integers. Defined cases: null texts have no words; an empty table gives no rows; a
+very long text is one piece and is never cut; ties: of equally early windows all stay; documents of fewer words than a
 window stay whole; a null id counts as greater than all others; rows that share an id are
 equally early, so none of them loses words to the other; blank texts give "". Extra columns
 stay, but for those named like added ones.
@@ -41,7 +46,7 @@ from pyspark.sql import DataFrame, functions as F
 from .arrow_text import gather, mix64, pieces, split_words, word_fingerprints
 
 WIDTH = 20
-#: Bytes of text for one bucket of keys, and bits of the bitmap at most.
+#: Bytes of text for one bucket of keys (there are as many buckets as that takes), and bits of the bitmap at most.
 BUCKET_BYTES, MOST_BITS = 8 << 20, 1 << 29
 LAST = np.int64((1 << 63) - 1)
 
@@ -83,11 +88,12 @@ def anchors(h: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray,
     return place, best
 
 
-def _deal(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by bucket and key, and where each bucket starts."""
-    bucket = (((key >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
-    order = np.lexsort((key, bucket))
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def _deal(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by key, in which buckets are runs; the buckets that occur, and where their runs start and the last ends."""
+    order = np.argsort(key, kind="stable")
+    bucket = ((key[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    starts = np.nonzero(np.diff(bucket, prepend=-1))[0]
+    return order, bucket[starts], np.append(starts, len(key))
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,17 +118,16 @@ def _read(blobs, kind: type) -> np.ndarray:
 
 def repeated_anchors(docs: DataFrame, text: str, width: int, buckets: int, bits: int) -> np.ndarray:
     """A bitmap of ``bits`` bits with those of all anchors that occur more than once."""
-    per_bucket = bits // buckets // 8 * 8
+    per_bucket = max(8, bits // buckets // 8 * 8)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             h, bounds = _words(batch.column("text"))
             place, key = anchors(h, window_starts(bounds, width), width)
-            key = key[np.unique(place, return_index=True)[1]]
-            order, edges = _deal(key, buckets)
-            some = np.nonzero(np.diff(edges))[0]
-            blobs = _slices(key[order], edges)
-            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([blobs[i] for i in some], pa.binary())], ["bucket", "keys"])
+            key = np.sort(key[np.unique(place, return_index=True)[1]])
+            key = key[np.concatenate([np.ones(min(2, len(key)), bool), key[2:] != key[:-2]])]  # two of a piece's equals tell that they repeat
+            _, some, edges = _deal(key, buckets)
+            yield pa.record_batch([pa.array(some), pa.array(_slices(key, edges), pa.binary())], ["bucket", "keys"])
 
     def repeats(rows: pd.DataFrame) -> pd.DataFrame:
         key = np.sort(_read(rows["keys"], np.uint64))
@@ -131,10 +136,11 @@ def repeated_anchors(docs: DataFrame, text: str, width: int, buckets: int, bits:
         flags[(twice % np.uint64(per_bucket)).astype(np.int64)] = True
         return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "bitmap": [np.packbits(flags).tobytes()]})
 
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(scan, "bucket int, keys binary").groupBy("bucket").applyInPandas(repeats, "bucket int, bitmap binary")
+    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(scan, "bucket long, keys binary").groupBy("bucket").applyInPandas(repeats, "bucket long, bitmap binary")
     bitmap = np.zeros((buckets, per_bucket // 8), np.uint8)
-    for row in found.toLocalIterator():  # bounded by MOST_BITS, whatever the corpus
-        bitmap[row["bucket"]] = np.frombuffer(row["bitmap"], np.uint8)
+    rows = found.toArrow()  # bounded by MOST_BITS, whatever the corpus
+    for bucket, flags in zip(rows["bucket"].to_pylist(), rows["bitmap"].to_pylist(), strict=True):
+        bitmap[bucket] = np.frombuffer(flags, np.uint8)
     return bitmap
 
 
@@ -179,7 +185,7 @@ def _by_document(rows: pa.Table) -> pa.Table:
 def repeated_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``key`` (id and digest of the text) and ``starts``, packed places (uint32) of windows that occur earlier."""
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    buckets = int(min(1 << 14, max(24, -(-size // BUCKET_BYTES))))
+    buckets = int(max(24, -(-size // BUCKET_BYTES)))
     bits = int(min(MOST_BITS, max(1 << 16, size // 8)))
     shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, text, width, buckets, bits))
 
@@ -192,27 +198,27 @@ def repeated_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", w
             ids = batch.column("doc").fill_null(int(LAST)).to_numpy(zero_copy_only=False)
             starts = window_starts(bounds, width)
             _, key = anchors(h, starts, width)
-            bucket = (((key >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
+            bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             bit = (key % per_bucket).astype(np.int64)
             starts = starts[(bitmap[bucket, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1]
             key, extra = run_keys(h, width)[starts], (run_keys(h, width, 0xD1342543DE82EF95)[starts] >> np.uint64(48)).astype(np.uint16)
             owner = np.searchsorted(bounds, starts, side="right") - 1
             doc, place = ids[owner], (starts - bounds[owner]).astype(np.uint32)
             later, first = _later(key, extra, doc, place)
-            order, edges = _deal(key[first], buckets)
+            order, some, edges = _deal(key[first], buckets)
             order = first[order]
             parts = [_slices(v[order], edges) for v in (key, extra, starts.astype(np.uint32), doc, place)]
-            some = np.nonzero(np.diff(edges))[0].tolist()
             # the first row has the piece's documents and what is settled in it, the others its earliest windows
             found = np.sort(starts[later]).astype(np.uint32)
-            parts[2] = {-1: _slices(found, np.array([0, len(found)]))[0]} | dict(enumerate(parts[2]))
+            settled = [None, None, _slices(found, np.array([0, len(found)]))[0], None, None]
             table = [pa.array([v] + [None] * len(some), k) for v, k in ((batch.column("doc").to_pylist(), pa.list_(pa.int64())), (batch.column("digest").to_pylist(), pa.list_(pa.string())), (bounds.tolist(), pa.list_(pa.int64())))]
-            blobs = [pa.array([p[-1] if i == 2 else None] + [p[j] for j in some], pa.binary()) for i, p in enumerate(parts)]
-            yield pa.record_batch([pa.array([base] * (1 + len(some))), pa.array([-1 - base % buckets, *some], pa.int32()), *table, *blobs], names)
+            blobs = [pa.array([s, *p], pa.binary()) for s, p in zip(settled, parts, strict=True)]
+            # each piece's own row is a group by itself, so that Spark's hash spreads them over the tasks
+            yield pa.record_batch([pa.array([base] * (1 + len(some))), pa.array([-1 - base, *some.tolist()], pa.int64()), *table, *blobs], names)
             base += 1
 
     names = ["base", "bucket", "docs", "digests", "bounds", "key", "extra", "offsets", "doc", "place"]
-    schema = "base long, bucket int, docs array<long>, digests array<string>, bounds array<long>, key binary, extra binary, offsets binary, doc binary, place binary"
+    schema = "base long, bucket long, docs array<long>, digests array<string>, bounds array<long>, key binary, extra binary, offsets binary, doc binary, place binary"
     digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
     rows = docs.select(F.col(doc).cast("long").alias("doc"), digest.alias("digest"), F.col(text).cast("string").alias("text"))
     settled = rows.mapInArrow(scan, schema).groupBy("bucket").applyInArrow(_resolve, "base long, docs array<long>, digests array<string>, bounds array<long>, offsets binary")
