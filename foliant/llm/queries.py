@@ -54,6 +54,20 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("doc", "doc_id")
 
 
+OP2_SQL = r"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p, greatest(len(ws) - 2, 1) AS n FROM d),
+    s AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, p, n, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS k FROM u) AS runs WHERE p <= n),
+    z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s AS a JOIN s AS b ON a.k = b.k GROUP BY a.doc_id, b.doc_id),
+    l AS (SELECT a, b, m = x.n AND m = y.n AS equal FROM c JOIN z AS x ON x.doc_id = a JOIN z AS y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+    e AS (SELECT a, min(b) AS name FROM l WHERE equal GROUP BY a),
+    k AS (SELECT l.a, CAST(count(DISTINCT e.name) - 1 AS BIGINT) AS n_links FROM l JOIN e ON e.a = l.b GROUP BY l.a),
+    r AS (SELECT doc_id AS a, doc_id AS m FROM d UNION SELECT l.b AS a, r.m FROM r JOIN l ON l.a = r.a)
+    SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, t.component_id, coalesce(k.n_links, 0) AS n_links
+    FROM d LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN k ON k.a = d.doc_id JOIN (SELECT a, min(m) AS component_id FROM r GROUP BY a) AS t ON t.a = d.doc_id"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import held_out, predict, train
 
@@ -107,6 +121,17 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+OP5_SQL = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p, len(ws) AS n FROM d),
+    k AS (SELECT *, p <= n - 19 AS starts, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS key FROM u),
+    f AS (SELECT doc_id, w, p, starts AND row_number() OVER (PARTITION BY starts, key ORDER BY doc_id, p) > 1 AS later FROM k),
+    g AS (SELECT doc_id, w, p, bool_or(later) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+    t AS (SELECT doc_id, count(*) AS n_words, count_if(gone) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id)
+    SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .class_lm import held_out, score, train, training
 
@@ -152,6 +177,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
+    "op2_jaccard_join": OP2_SQL,
+    "op5_substring_dedup": OP5_SQL,
     "op6_sharding": op6_sql(),
     "op10_line_dedup": OP10_SQL,
 }
