@@ -238,6 +238,23 @@ def test_recall(spark):
     assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
 
 
+def test_recall_over_several_full_blocks(spark):
+    rng = np.random.default_rng(9)
+    data = rng.normal(size=(4 * ann.CANDIDATE_BLOCK + 100, 32)).astype(np.float32)
+    table = pa.table([pa.array(np.arange(len(data))), pa.FixedSizeListArray.from_arrays(pa.array(data.ravel()), 32).cast(pa.list_(pa.float32()))], ["vec_id", "embedding"])
+    rows = spark.createDataFrame(table).repartition(8)
+    got: dict[int, set] = {}
+    for r in ann.search(rows, F.col("id") % 20 == 0, query_block=300).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    wide, right = data.astype(np.float64), 0
+    for q in range(0, len(data), 20):
+        exact = wide @ wide[q]
+        exact[q] = -np.inf
+        right += len(got[q] & set(np.argsort(-exact)[:20].tolist()))
+        assert len(got[q]) == 20
+    assert right >= 0.9 * 20 * len(got)
+
+
 def test_codes_weigh_parallel_error():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 16))
