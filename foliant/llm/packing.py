@@ -7,18 +7,29 @@ holds its ids as one little-endian array, filled up with the padding id, the cum
 lengths of its segments (from 0), and the places at which positions start anew.
 
 Each task encodes and packs what it reads: nothing is shuffled. A row's segments name
-document and piece, so documents can be put together again (``unpack``).
+document, piece and input row, so documents can be put together again (``unpack``).
+``write_packed`` writes flat files that trainers map into memory.
 
 Defined cases: null and empty texts have no tokens and no segment; repeated rows are
-packed as often as they occur; a null id stays null; an empty table gives no rows.
+packed as often as they occur, and ``unpack`` gives each of them back; a null id stays
+null; ties of length go by order; a very long text fills whole rows and a rest, however many;
+an empty table gives no rows and no files but an empty manifest. Other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import gather, pieces
@@ -82,8 +93,8 @@ def best_fit_decreasing(lengths: np.ndarray, row: int) -> list[list[int]]:
     return rows
 
 
-def pack_group(docs: pa.Array, ids: np.ndarray, bounds: np.ndarray, row: int, pad: int, kind: str) -> pa.RecordBatch:
-    """Rows for a group of encoded texts."""
+def pack_group(docs: pa.Array, first: int, ids: np.ndarray, bounds: np.ndarray, row: int, pad: int, kind: str) -> pa.RecordBatch:
+    """Rows for a group of encoded texts, which are numbered from ``first``."""
     lengths = np.diff(bounds)
     n_pieces = -(-lengths // row)
     owner = np.repeat(np.arange(len(lengths)), n_pieces)
@@ -100,7 +111,7 @@ def pack_group(docs: pa.Array, ids: np.ndarray, bounds: np.ndarray, row: int, pa
     matrix.reshape(-1)[place] = ids[gather(starts[order], sizes[order])]
     cumulative = np.concatenate([np.r_[0, total[a + 1 : b + 1] - total[a]] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]) if len(packed) else np.empty(0)
     offsets = pa.array(edges.astype(np.int32))
-    segments = pa.StructArray.from_arrays([docs.take(pa.array(owner[order])), pa.array(number[order].astype(np.int32))], ["doc", "piece"])
+    segments = pa.StructArray.from_arrays([docs.take(pa.array(owner[order])), pa.array(number[order].astype(np.int32)), pa.array(first + owner[order])], ["doc", "piece", "row"])
     resets = (total[:-1] - total[edges[:-1]].repeat(per_row)).astype(np.int32)
     return pa.record_batch(
         [
@@ -114,7 +125,7 @@ def pack_group(docs: pa.Array, ids: np.ndarray, bounds: np.ndarray, row: int, pa
 
 
 def pack(docs: DataFrame, vocabulary_path: str, row: int = ROW_TOKENS, doc: str = "doc_id", text: str = "text", group_tokens: int = GROUP_TOKENS, pad: int | None = None, end: int | None = None) -> DataFrame:
-    """Packed rows of all texts: ids (binary, of 2 or 4 bytes each), cu_seqlens, resets and segments (doc, piece).
+    """Packed rows of all texts: ids (binary, of 2 or 4 bytes each), cu_seqlens, resets and segments (doc, piece, row).
 
     ``pad`` fills rows up (the file's first special token if None), and ``end`` is put
     behind every text that has tokens, if given.
@@ -132,11 +143,11 @@ def pack(docs: DataFrame, vocabulary_path: str, row: int = ROW_TOKENS, doc: str
         fill = pad if pad is not None else min(special.values(), default=0)
         kind = "<u2" if len(codec.vocabulary.tokens) <= 1 << 16 else "<u4"
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
-        n = 0
+        n, first = 0, TaskContext.get().partitionId() << 40
 
         def flush() -> pa.RecordBatch:
             bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, _, b in held]))]).astype(np.int64)
-            return pack_group(pa.concat_arrays([d for d, _, _ in held]), np.concatenate([i for _, i, _ in held]), bounds, row, fill, kind)
+            return pack_group(pa.concat_arrays([d for d, _, _ in held]), first, np.concatenate([i for _, i, _ in held]), bounds, row, fill, kind)
 
         for batch in pieces(batches):
             ids, bounds = codec.encode(batch.column("text"))
@@ -148,37 +159,110 @@ def pack(docs: DataFrame, vocabulary_path: str, row: int = ROW_TOKENS, doc: str
             n += len(ids)
             if n >= group_tokens:
                 yield flush()
+                first += sum(len(d) for d, _, _ in held)
                 held, n = [], 0
         if n:
             yield flush()
 
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"ids binary, cu_seqlens array<int>, resets array<int>, segments array<struct<doc: {id_kind}, piece: int>>")
+    return rows.mapInArrow(run, f"ids binary, cu_seqlens array<int>, resets array<int>, segments array<struct<doc: {id_kind}, piece: int, row: bigint>>")
 
 
-def write_packed(packed: DataFrame, path: str) -> None:
-    """Write rows as Parquet, a group of rows a packed matrix; ids are plain bytes for memory maps."""
-    packed.write.option("parquet.enable.dictionary", "false").parquet(path)
+def _folder(path: str) -> str:
+    parts = urlsplit(path)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"memory maps need a folder that all executors have mounted, not {path}")
+    return unquote(parts.path)
+
+
+def write_packed(packed: DataFrame, path: str, width: int = 2) -> None:
+    """Write rows as flat little-endian files for memory maps, a set of files for each task.
+
+    ``<name>.ids`` is the matrix of ids (``width`` bytes each), ``<name>.cu_seqlens`` (int32)
+    the cumulative lengths of all rows one after the other, ``<name>.resets`` (int32) the
+    places at which positions start anew, ``<name>.rows`` (int64) where each row's resets
+    start and the last one's end (a row's cumulative lengths start one further for each row before it), and
+    ``<name>.segments.parquet`` has the segments' documents. ``path`` is a folder that all
+    executors have mounted. A task's files have a name of their own for each attempt, and
+    ``manifest.json``, put there in one step at the end, lists those that count; files of
+    lost attempts are removed then.
+    """
+    folder = _folder(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, digest, rows, tokens, length, at = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", hashlib.sha256(), 0, 0, 0, 0
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
+        if first is None:
+            return
+        os.makedirs(folder, exist_ok=True)
+        base = os.path.join(folder, name)
+        kind = first.schema.field("segments").type.value_type
+        with open(f"{base}.ids", "wb") as ids, open(f"{base}.cu_seqlens", "wb") as cu, open(f"{base}.resets", "wb") as resets, open(f"{base}.rows", "wb") as starts, pq.ParquetWriter(f"{base}.segments.parquet", pa.schema(list(kind))) as segments:
+            starts.write(np.zeros(1, "<i8").tobytes())
+            for batch in (b for part in ([first], batches) for b in part):
+                blobs = batch.column("ids").to_pylist()
+                length = len(blobs[0]) // width
+                for blob in blobs:
+                    ids.write(blob)
+                    digest.update(blob)
+                lengths, own = batch.column("cu_seqlens"), batch.column("resets")
+                cu.write(lengths.flatten().to_numpy().astype("<i4").tobytes())
+                resets.write(own.flatten().to_numpy().astype("<i4").tobytes())
+                counts = np.cumsum(np.array([len(r) for r in own.to_pylist()], "<i8")) + at
+                starts.write(counts.astype("<i8").tobytes())
+                at = int(counts[-1])
+                segments.write_table(pa.table({f.name: batch.column("segments").flatten().field(i) for i, f in enumerate(kind)}))
+                rows += len(blobs)
+                tokens += sum(v[-1] for v in lengths.to_pylist())
+            for file in (ids, cu, resets, starts):
+                file.flush()
+                os.fsync(file.fileno())
+        yield pa.record_batch([pa.array([name]), pa.array([rows]), pa.array([tokens]), pa.array([length]), pa.array([digest.hexdigest()])], ["name", "rows", "tokens", "row", "sha256"])
+
+    parts = sorted(packed.mapInArrow(run, "name string, rows long, tokens long, row long, sha256 string").collect())  # a row for each task
+    os.makedirs(folder, exist_ok=True)
+    manifest = os.path.join(folder, "manifest.json")
+    with open(f"{manifest}.new", "w") as file:
+        json.dump({"bytes_per_id": width, "parts": [p.asDict() for p in parts]}, file)
+        file.flush()
+        os.fsync(file.fileno())
+    os.replace(f"{manifest}.new", manifest)
+    named = {p["name"] for p in parts}
+    for file in os.listdir(folder):
+        if file.startswith("part-") and file.split(".")[0] not in named:
+            os.unlink(os.path.join(folder, file))
+
+
+def read_packed(path: str) -> Iterator[dict[str, np.ndarray]]:
+    """Memory maps of each written part: ids [row, place], cu_seqlens, resets and rows."""
+    folder = _folder(path)
+    with open(os.path.join(folder, "manifest.json")) as file:
+        manifest = json.load(file)
+    for part in manifest["parts"]:
+        base = os.path.join(folder, part["name"])
+        maps = {"ids": np.memmap(f"{base}.ids", f"<u{manifest['bytes_per_id']}", "r").reshape(part["rows"], part["row"])}
+        for name, kind in (("cu_seqlens", "<i4"), ("resets", "<i4"), ("rows", "<i8")):
+            maps[name] = np.memmap(f"{base}.{name}", kind, "r")
+        yield maps
 
 
 def unpack(packed: DataFrame, width: int = 2) -> DataFrame:
-    """``doc`` and ``ids array<int>`` of each document, its pieces put together in order."""
+    """``doc`` and ``ids array<int>`` of each input row that has tokens, its pieces put together in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, numbers, parts = [], [], []
+            found, parts = [], []
             for r in batch.to_pylist():
                 ids = np.frombuffer(r["ids"], f"<u{width}")
                 for s, a, b in zip(r["segments"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
-                    docs.append(s["doc"])
-                    numbers.append(s["piece"])
+                    found.append(s)
                     parts.append(ids[a:b].astype(np.int32))
-            yield pa.record_batch([pa.array(docs, kind_of(batch)), pa.array(numbers, pa.int32()), pa.array(parts, pa.list_(pa.int32()))], ["doc", "piece", "ids"])
-
-    def kind_of(batch: pa.RecordBatch) -> pa.DataType:
-        return batch.schema.field("segments").type.value_type.field("doc").type
+            kind = batch.schema.field("segments").type.value_type
+            columns = [pa.array([s[f.name] for s in found], f.type) for f in kind]
+            yield pa.record_batch([*columns, pa.array(parts, pa.list_(pa.int32()))], ["doc", "piece", "row", "ids"])
 
     kind = packed.schema["segments"].dataType.elementType["doc"].dataType.simpleString()
-    pieces_of = packed.select("ids", "cu_seqlens", "segments").mapInArrow(run, f"doc {kind}, piece int, ids array<int>")
-    whole = pieces_of.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
+    pieces_of = packed.select("ids", "cu_seqlens", "segments").mapInArrow(run, f"doc {kind}, piece int, row long, ids array<int>")
+    whole = pieces_of.groupBy("row").agg(F.first("doc").alias("doc"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
     return whole.select("doc", F.flatten(F.col("p.ids")).alias("ids"))

@@ -1,10 +1,12 @@
 """Tokens, packing, sharding, the queries' SQL and the pipeline."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,9 +120,31 @@ def test_packed_rows_hold_everything(spark, library):
 
 
 def test_packed_rows_are_written(spark, tmp_path):
-    packed = packing.pack(documents(spark, prose(6, 20)), queries.tokenizer_path(), row=64)
-    packing.write_packed(packed, str(tmp_path / "rows"))
-    assert spark.read.parquet(str(tmp_path / "rows")).count() == packed.count()
+    packed = packing.pack(documents(spark, prose(6, 40) + odd()).repartition(3), queries.tokenizer_path(), row=64, group_tokens=900).cache()
+    for _ in range(2):  # a second run replaces the first
+        packing.write_packed(packed, f"file://{tmp_path}/rows")
+    want = sorted((r["ids"], r.cu_seqlens, r.resets, [s.doc for s in r.segments]) for r in packed.collect())
+    got = []
+    parts = json.loads((tmp_path / "rows" / "manifest.json").read_text())["parts"]
+    for part, maps in zip(parts, packing.read_packed(f"{tmp_path}/rows"), strict=True):
+        assert isinstance(maps["ids"], np.memmap) and maps["ids"].dtype == np.dtype("<u2") and maps["ids"].shape[1] == 64
+        assert hashlib.sha256(maps["ids"].tobytes()).hexdigest() == part["sha256"] and len(maps["ids"]) == part["rows"]
+        docs = pq.read_table(tmp_path / "rows" / f"{part['name']}.segments.parquet")["doc"].to_pylist()
+        for i, (a, b) in enumerate(zip(maps["rows"], maps["rows"][1:])):
+            got.append((maps["ids"][i].tobytes(), maps["cu_seqlens"][a + i : b + i + 1].tolist(), maps["resets"][a:b].tolist(), docs[a:b]))
+    assert sorted(got, key=str) == sorted(want, key=str) and len(parts) == 3
+    assert len(list((tmp_path / "rows").iterdir())) == 5 * len(parts) + 1
+    packing.write_packed(packed.limit(0), str(tmp_path / "none"))
+    assert list(packing.read_packed(str(tmp_path / "none"))) == []
+    with pytest.raises(ValueError):
+        packing.write_packed(packed, "hdfs://host/rows")
+
+
+def test_unpacking_gives_repeated_rows_back(spark, library):
+    rows = [(1, "the same id and text", None, None, 0)] * 3 + [(1, "the same id", None, None, 0), (None, "no id", None, None, 0), (None, "none either", None, None, 0)]
+    packed = packing.pack(documents(spark, rows), queries.tokenizer_path(), row=3)
+    got = sorted(((r["doc"], r["ids"]) for r in packing.unpack(packed).collect()), key=str)
+    assert got == sorted([(d, library.encode(t, add_special_tokens=False).ids) for d, t, *_ in rows], key=str)
 
 
 def test_shards_take_turns():
