@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one step works on at a time, unless a single text is longer.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -29,6 +29,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             base, start = int(ends[stop - 1]), stop
+    pa.default_memory_pool().release_unused()  # a worker process outlives its task
 
 
 def utf8_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

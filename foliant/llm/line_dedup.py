@@ -7,9 +7,11 @@ shuffle, and texts are joined to a list for each host, which is short by its nat
 host whose pages have m lines on average has at most m / ratio lines above the ratio.
 
 Defined cases: null text stays null with no lines; blank lines always stay; a null host
-is a host of its own; an empty text has one blank line; ties at exactly the ratio stay.
-Columns named like the added ones are replaced. With ``copies_once`` a host's identical texts
-are one page on both sides of the ratio; ``min_pages`` always counts every row.
+is a host of its own; an empty text has one blank line; ties at exactly the ratio stay;
+repeated rows are pages of their own; a very long text is one page, and its lines are taken
+one by one; an empty table gives no rows. Columns named like the added ones are replaced,
+other extra ones stay. With ``copies_once`` a host's identical texts are one page on both
+sides of the ratio; ``min_pages`` always counts every row.
 """
 
 from __future__ import annotations
@@ -32,25 +34,38 @@ def _key(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """``host_key`` and ``digests``, the array of MD5 digests of the host's boilerplate lines."""
     texts = docs.select(_host_key(host).alias("host_key"), F.col(text).cast("string").alias("text")).where("text is not null")
-    page = F.count_distinct(F.md5("text")) if copies_once else F.count("*")
-    totals = texts.groupBy("host_key").agg(F.count("*").alias("all"), page.alias("pages")).where(F.col("all") >= min_pages).drop("all")
-    pages = (texts.distinct() if copies_once else texts).select("host_key", F.split("text", "\n").alias("lines"))
+    totals = texts.groupBy("host_key").agg(F.count("*").alias("all"), F.count("*").alias("pages"))
+    if copies_once:
+        texts = texts.withColumn("page", F.md5("text"))
+        copies = checkpointed(texts.groupBy("host_key", "page").agg(F.count("*").alias("n")))
+        totals = copies.groupBy("host_key").agg(F.sum("n").alias("all"), F.count("*").alias("pages"))
+        texts = _once(texts, copies.where("n > 1").drop("n"), broadcast_digests)
+    totals = totals.where(F.col("all") >= min_pages).drop("all")
+    pages = texts.select("host_key", F.split("text", "\n").alias("lines"))
     keys = F.array_distinct(F.transform("lines", _key))
     lines = pages.select("host_key", F.explode(keys).alias("line")).where("line <> ''")
     counts = lines.groupBy("host_key", F.md5("line").alias("digest")).agg(F.count("*").alias("n")).where("n > 1")
     return counts.join(totals, "host_key").where(F.col("n") > F.col("pages") * max_ratio).groupBy("host_key").agg(F.collect_list("digest").alias("digests"))
 
 
+def _once(texts: DataFrame, repeated: DataFrame, broadcast_digests: int) -> DataFrame:
+    """``texts`` without all but one of a host's identical ones; only those are shuffled if their list may be broadcast."""
+    if repeated.limit(broadcast_digests + 1).count() > broadcast_digests:
+        return texts.dropDuplicates(["host_key", "page"])
+    keys, repeated = ["host_key", "page"], F.broadcast(repeated)
+    return texts.join(repeated, keys, "left_anti").unionByName(texts.join(repeated, keys, "left_semi").dropDuplicates(keys))
+
+
 def _host_key(host: str) -> Column:
     return F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_digests: int = BROADCAST_DIGESTS, copies_once: bool = False) -> DataFrame:
     """``docs`` with ``text`` rid of boilerplate lines, and n_lines and n_dropped as long."""
-    found = checkpointed(boilerplate(docs, host, text, max_ratio, min_pages, copies_once)).toDF("__host", "__digests")
+    found = checkpointed(boilerplate(docs, host, text, max_ratio, min_pages, copies_once, broadcast_digests)).toDF("__host", "__digests")
     size = found.agg(F.sum(F.size("__digests"))).first()[0] or 0
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     pages = docs.withColumn("__host", _host_key(host))

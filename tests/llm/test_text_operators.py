@@ -201,5 +201,20 @@ def test_boilerplate_lines(spark, broadcast):
     assert line_dedup.drop_boilerplate(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [line_dedup.BROADCAST_DIGESTS, 0])
+def test_copies_count_as_one_page(spark, broadcast):
+    rows = [(i, f"menu\ntext {i}", None, "a", 1) for i in range(20)] + [(100 + i, "copied line\nand another", None, "a" if i % 2 else "b", 1) for i in range(60)] + [(300 + i, f"own {i}\nfew", None, "b", 1) for i in range(30)] + odd()
+    got = line_dedup.drop_boilerplate(documents(spark, rows), broadcast_digests=broadcast, copies_once=True)
+    got = sorted([(r.doc_id, r.text) for r in got.collect()], key=key)
+    pages, counts, every = defaultdict(set), Counter(), Counter(h for _, t, _, h, _ in rows if t is not None)
+    for _, text, _, host, _ in rows:
+        if text is not None and text not in pages[host]:
+            pages[host].add(text)
+            counts.update({(host, line.strip(" \t\r")) for line in text.split("\n")})
+    bad = {k for k, n in counts.items() if k[1] and every[k[0]] >= 20 and n > 1 and n > 0.1 * len(pages[k[0]])}
+    want = [(d, None if t is None else "\n".join(x for x in t.split("\n") if (h, x.strip(" \t\r")) not in bad)) for d, t, _, h, _ in rows]
+    assert got == sorted(want, key=key) and ("a", "menu") in bad and ("b", "few") in bad and ("a", "copied line") not in bad
+
+
 def test_digests_in_queries_are_of_these_texts():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
