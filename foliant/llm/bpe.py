@@ -9,7 +9,15 @@ into memory; pieces it lacks are merged exactly by the vocabulary's ranks.
 
 Results equal those of the public tokenizers library for the same file: special
 tokens that occur in a text become their id, and the rest is split by the
-byte-level pattern. Null encodes as the empty text.
+byte-level pattern.
+
+Defined cases: null and empty texts have no ids, and ids decode to "" then; arrays of ids
+that are null decode to null; blank texts keep their blanks; repeated rows are rows of
+their own; a null id stays null; a very long text is encoded whole, as is a piece of any
+length; pieces of equal count enter the lexicon in the order of their bytes, which changes
+no result; an empty table gives no rows. Only id and text are read and only they and the
+added columns come back, whatever other columns there are; ``decode`` keeps all columns and
+replaces one that is named like its own.
 """
 
 from __future__ import annotations

@@ -15,7 +15,10 @@ is broadcast at a time is bounded however large the benchmark is. Documents' wor
 generator and join in one code-generated stage and only matches leave it; no text is
 shuffled. Only DataFrame functions run.
 
-Defined cases: null texts and texts without words have no windows; a null item_id has no
+Defined cases: null texts and texts without words, in documents or benchmark, have no
+windows; a null doc_id is a row like any other; a very long text is one row, all of whose
+words are looked at; of two equally rare shingles a window's first counts; an empty table
+of documents gives no rows; a null item_id has no
 name to list, but its passages count as hits; repeated items and documents change nothing
 but the number of rows (each row of documents gives a row); an empty benchmark hits
 nothing. Extra columns are left alone; those named like added ones are replaced.

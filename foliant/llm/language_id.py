@@ -10,9 +10,13 @@ batch. Training takes at most ``TRAIN_PER_LANG`` texts of each language, those w
 lowest digests of their ids, and of each one span at a digest's place; this bound is a
 parameter, and prediction has none.
 
-Defined cases: ``und`` with score 0 for null texts and texts without letters, and where
-nothing could be learned; ties go to the language that sorts first; repeated rows are
-rows of their own; null languages teach nothing. lang, source and id are no inputs.
+Defined cases: ``und`` with score 0 for null, empty and blank texts and texts without
+letters, and where nothing could be learned; ties go to the language that sorts first;
+repeated rows are rows of their own; null languages teach nothing; a null id is like the
+text "" when training texts are chosen; a very long text has all its spans read; an empty
+table to train on teaches nothing, and an empty one to predict gives no rows. lang, source
+and id are no inputs of a prediction. Extra columns stay, but for those named lang_pred and
+score, which are replaced.
 """
 
 from __future__ import annotations
@@ -153,7 +157,7 @@ class Network:
             longest = int(sizes[some].max())
             place = np.minimum(starts[some][None, :] + np.arange(longest)[:, None], len(raw) - 1)
             live = np.arange(longest)[:, None] < sizes[some][None, :]
-            spans = np.where(live, raw[place], 256).astype(np.int16)
+            spans = np.where(live, raw[place].astype(np.int16), np.int16(256))  # bytes have no room for 256
             states = [self._run(spans, d, False)[0].reshape(-1, h) for d in "fb"]
             logits = states[0] @ v[:h]
             logits += states[1] @ v[h:]

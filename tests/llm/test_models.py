@@ -47,6 +47,40 @@ def test_language_of_texts_held_out(spark):
     assert right / n > 0.95 and 0 <= low and high <= 1
 
 
+def test_pooled_scores_are_those_of_single_steps(spark):
+    rows = prose(2, 60) + odd()[:6] + [(7001, "ab é " * 70, "aa", None, 350)]
+    network = language_id.train(documents(spark, rows), per_lang=20, steps=30)
+    w, h = {k: v.astype(float) for k, v in network.weights.items()}, network.hidden
+    squash = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(span, d):
+        state, found = np.zeros(h), []
+        for byte in span if d == "f" else span[::-1]:
+            x, u = w["E"][byte] @ w[f"W{d}"] + w[f"b{d}"], state @ w[f"U{d}"]
+            reset, update = squash(x[:h] + u[:h]), squash(x[h : 2 * h] + u[h : 2 * h])
+            state = update * state + (1 - update) * np.tanh(x[2 * h :] + reset * u[2 * h :])
+            found.append(state)
+        return found if d == "f" else found[::-1]
+
+    def pooled(text):
+        raw, total = text.encode(), np.zeros(len(network.languages))
+        for at in range(0, len(raw), language_id.SPAN):
+            span = raw[at : at + language_id.SPAN]
+            for f, b in zip(states(span, "f"), states(span, "b")):
+                z = np.concatenate([f, b]) @ w["V"] + w["c"]
+                total += np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        return total / len(raw)
+
+    found = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in language_id.predict(documents(spark, rows), network).collect()}
+    for doc, text, *_ in rows:
+        if any(map(str.isalpha, text or "")):
+            p = pooled(text)
+            name, score = found[doc, text]
+            assert score == pytest.approx(p.max(), abs=1e-4) and p[network.languages.index(name)] == pytest.approx(p.max(), abs=1e-4)
+        else:
+            assert found[doc, text] == ("und", 0)
+
+
 def test_languages_of_odd_rows(spark):
     rows = odd() + [(1, "12 34 !?", "aa", None, 8)] + prose(2, 40)
     docs = documents(spark, rows).withColumn("score", F.lit("clash")).withColumn("span", F.lit("clash"))
@@ -57,6 +91,7 @@ def test_languages_of_odd_rows(spark):
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) and 0 <= r.score <= 1
     assert found.count() == len(rows)
     assert language_id.train(docs.where("false")) is None
+    assert language_id.predict(docs.limit(0), network).count() == 0
     assert {r.lang_pred for r in language_id.predict(docs, None).collect()} == {"und"}
 
 
