@@ -420,8 +420,8 @@ class _Join:
         named = pairs.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
         return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
-    def counts(self) -> DataFrame:
-        """``id`` and ``n_links`` of every set that links to another."""
+    def rooms(self) -> DataFrame:
+        """label, id and members of every set that links to another, and whether the pivot alone tells that it links to all members."""
         scheme = self.scheme
         less, more = scheme.whole - scheme.part, scheme.whole + scheme.part
         measured = self._measured(self.labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")))
@@ -430,13 +430,17 @@ class _Join:
         rooms = checkpointed(measured.select(F.col("a").alias("label"), F.col("b").alias("id"), room.alias("room")).union(pivots.select("label", "id", F.col("n") * less)))
         rooms = rooms.distinct()  # repeated rows
         stats = checkpointed(rooms.groupBy("label").agg(F.count("*").alias("members"), F.min("room").alias("low")))
-        rooms = checkpointed(rooms.join(stats, "label").select("label", "id", "members", (F.col("room") + F.col("low") >= 0).alias("sure")))
+        return checkpointed(rooms.join(stats, "label").select("label", "id", "members", (F.col("room") + F.col("low") >= 0).alias("sure")))
+
+    def counts(self) -> DataFrame:
+        """``id`` and ``n_links`` of every set that links to another."""
+        rooms = self.rooms()
         cores = checkpointed(rooms.groupBy("label").agg(F.count_if("sure").alias("core")))
         open_ = checkpointed(rooms.where("not sure").select("label", "id"))
         known = rooms.join(cores, "label").select("id", F.when(F.col("sure"), F.col("members") - 1).otherwise(F.col("core")).alias("n_links"))
         if open_.limit(1).count() == 0:
             return known
-        matrices = _matrices_of(scheme)
+        matrices = _matrices_of(self.scheme)
 
         def sums(rows: pd.DataFrame) -> pd.DataFrame:
             found = [(ids, linked.sum(1)) for ids, linked in matrices(rows)]

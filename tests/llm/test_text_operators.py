@@ -120,6 +120,57 @@ def test_jaccard_links(spark, width, part, short, block):
     assert len(want) > len({b for _, b in want})  # more than any forest has
 
 
+@pytest.mark.parametrize("broadcast", [jaccard_join.BROADCAST_IDS, 0])
+def test_sets_of_one_id_keep_their_links(spark, broadcast):
+    text = lambda name, skip: " ".join(f"{name}{i}" for i in range(60) if i != skip)
+    rows = [(5, text("a", -1)), (5, text("b", -1)), (2, text("a", 59)), (3, text("b", 59)), (7, text("c", 0)), (7, text("c", 0)), (9, text("c", 0)), (8, text("d", 0))]
+    docs = documents(spark, [(d, t, None, None, 0) for d, t in rows])
+    found = jaccard_join.counted_components(docs, 3, 90, 100, broadcast_ids=broadcast).collect()
+    assert sorted((r.doc, r.component_id, r.n_links) for r in found) == [(2, 2, 1), (3, 3, 1), (5, 2, 1), (5, 3, 1), (7, 7, 0), (7, 7, 0), (8, 8, 0), (9, 7, 0)]
+
+
+def test_links_follow_from_a_pivot(spark):
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(80):  # near copies, all different, that one word each sets apart; and some that many do
+        w = list(base)
+        for j in rng.choice(300, 1 if i < 70 else 8, replace=False):
+            w[j] = f"other{i}"
+        rows.append((i, " ".join(w), None, None, 0))
+    docs = documents(spark, rows)
+    rooms = jaccard_join._Join(docs, 3, 90, 100, "doc_id", "text").rooms().collect()
+    assert sum(r.sure for r in rooms) >= 60 and len({r.label for r in rooms}) == 1
+    sets = [frozenset(zip(w, w[1:], w[2:])) for w in (t.split() for _, t, *_ in rows)]
+    want = {i: sum(j != i and 100 * len(a & b) >= 90 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    for limits in ({}, {"short_list": 2, "block": 7}):
+        assert {r.doc: r.n_links for r in jaccard_join.counted_components(docs, 3, 90, 100, **limits).collect()} == want
+
+
+@pytest.mark.parametrize("broadcast", [jaccard_join.BROADCAST_IDS, 0])
+def test_near_duplicates_go_by_row(spark, broadcast):
+    text = lambda name, skip: " ".join(f"{name}{i}" for i in range(60) if i != skip)
+    rows = [(5, text("a", -1)), (5, text("b", -1)), (2, text("a", 59)), (7, text("c", 0)), (7, text("c", 0)), (9, text("c", 0)), (4, text("e", -1)), (4, text("e", 0)), (None, text("a", -1)), (6, None), (6, ""), (6, " "), (8, text("d", 0))]
+    docs = documents(spark, [(d, t, None, None, 0) for d, t in rows]).withColumn("digest", F.lit("clash")).withColumn("doc", F.lit(1))
+    kept = jaccard_join.drop_near_duplicates(docs, 5, 80, 100, broadcast_ids=broadcast)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=key)
+    assert [d for d, _ in got] == [None, 2, 4, 5, 6, 6, 6, 7, 8]
+    assert dict(got)[5] == text("b", -1) and dict(got)[4] in (text("e", -1), text("e", 0))
+    assert jaccard_join.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("buckets", [24, 1 << 14, 1 << 20])
+def test_rows_of_pieces_spread(spark, buckets):
+    tasks = spark.range(10_000).select((-1 - F.col("id") * (1 << 32)).alias("bucket"))  # groups of the first piece of each task
+    sizes = [r["count"] for r in tasks.groupBy(F.pmod(F.hash("bucket"), F.lit(200)).alias("p")).count().collect()]
+    assert len(sizes) == 200 and max(sizes) < 100
+    keys = np.random.default_rng(2).integers(0, 1 << 64, 50_000, dtype=np.uint64)
+    order, some, edges = substring_dedup._deal(keys, buckets)
+    assert sorted(order.tolist()) == list(range(len(keys))) and (np.diff(some) > 0).all() and 0 <= some[0] and some[-1] < buckets
+    assert np.diff(edges).max() <= 3 * len(keys) / buckets + 12
+
+
 def test_jaccard_of_nothing(spark):
     found, links = jaccard_join.set_components(documents(spark, []))
     assert found.count() == 0 and links.count() == 0
