@@ -26,12 +26,12 @@ SHINGLE, PART, WHOLE = 5, 80, 100
 
 
 def _hidden(docs: DataFrame, *read: str) -> DataFrame:
-    """``docs`` with all columns but those that are ``read`` named with two underscores, so that no operator's column replaces one."""
-    return docs.select(*[F.col(c).alias(c if c in read else f"__{c}") for c in docs.columns])
+    """``docs`` with all columns but those that are ``read`` named ``__of_...``, so that no operator's column replaces one."""
+    return docs.select(*[F.col(c).alias(c if c in read else f"__of_{c}") for c in docs.columns])
 
 
 def _shown(found: DataFrame, docs: DataFrame, *read: str) -> DataFrame:
-    return found.select(*[F.col(c if c in read else f"__{c}").alias(c) for c in docs.columns])
+    return found.select(*[F.col(c if c in read else f"__of_{c}").alias(c) for c in docs.columns])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     clean = line_dedup.drop_boilerplate(_hidden(docs, "text", "source").withColumn("__whole", F.col("text")), copies_once=True)
     changed = (F.col("n_dropped") > 0) & (F.btrim("text", F.lit(" \t\r\n")) != "")
-    clean = clean.withColumn("__n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("__n_chars")).cast("long"))
+    clean = clean.withColumn("__of_n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("__of_n_chars")).cast("long"))
     return _shown(clean.withColumn("text", F.when(changed, F.col("text")).otherwise(F.col("__whole"))), docs, "text", "source")
 
 
