@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, line_dedup, packing, queries, sharding
+from foliant.llm import bpe, language_id, line_dedup, packing, queries, sharding
 
 from .samples import documents, odd, prose
 
@@ -195,7 +196,13 @@ def test_pipeline_stages(spark):
     stage = dict(pipeline.STAGES)
     first = stage["language_id"](spark, docs, DATA).cache()
     assert first.columns == docs.columns and first.where("text is null or doc_id in (5002, 5003)").count() == 0
-    assert first.count() > 0.95 * docs.count() - 3
+    network = language_id.train(docs.where(~language_id.held_out()))
+    given = docs.collect()
+    p = network.predict(*language_id.utf8_buffer(pa.array([r.text for r in given])))
+    sure = [r for r, row in zip(given, p) if any(map(str.isalpha, r.text or "")) and row.max() >= 0.5 + 1e-5]
+    unsure = [r for r, row in zip(given, p) if any(map(str.isalpha, r.text or "")) and row.max() >= 0.5 - 1e-5]
+    assert {(r.doc_id, r.text) for r in sure} <= {(r.doc_id, r.text) for r in first.collect()} <= {(r.doc_id, r.text) for r in unsure}
+    assert len(sure) > 0.9 * len(given) - 3
     lines = stage["line_dedup"](spark, first, DATA).cache()
     want = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(first).collect()}
     assert lines.columns == docs.columns and all(r.text == want[r.doc_id] for r in lines.collect())
@@ -214,9 +221,34 @@ def test_pipeline_stages(spark):
             label[a] = label[b] = low
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(d for d in label if label[d] == d)
     clean = stage["decontamination"](spark, kept, DATA).cache()
-    assert clean.columns == docs.columns and 0 < clean.count() <= kept.count()
+    pick = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda t: pick.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+    windows = {tuple(w[i : i + 10]) for r in queries.table(spark, DATA, "benchmark").collect() if (w := words(r.text)) for i in range(max(1, len(w) - 9))}
+    hit = lambda w: any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+    want = sorted(str(r.doc_id) for r in kept.collect() if not hit(words(r.text)))
+    assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == want and 0 < len(want) < kept.count()
     tokens = stage["bpe"](spark, clean, DATA)
-    assert tokens.count() == clean.count()
+    library = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    ids = {str(r.doc_id): library.encode(r.text, add_special_tokens=False).ids for r in clean.collect()}
+    want = sorted((d, len(x), sha(",".join(map(str, x))), sha(library.decode(x, skip_special_tokens=False))) for d, x in ids.items())
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in tokens.collect()) == want
+
+
+def test_pipeline_stages_on_empty_tables_and_clashing_columns(spark):
+    import corpus_pipeline as pipeline
+
+    clashing = ["lang_pred", "score", "n_lines", "n_dropped", "digest", "doc", "n_words", "items", "contaminated", "text2", "ids"]
+    rows = [(i, f"some words of text number {i} and a few more of them {i * i} to tell texts apart", "aa" if i % 2 else "bb", "s", 1) for i in range(12)] + odd()
+    docs = documents(spark, rows).withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in clashing})
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        after = stage(spark, docs, DATA)
+        if name != "bpe":
+            assert after.columns == docs.columns
+            assert all(r[c] == f"{c} {r.doc_id}" for r in after.where("doc_id is not null").collect() for c in clashing)
+            assert after.where("doc_id is null").count() == 1
+    assert after.count() == len(rows)
 
 
 def test_copies_are_not_boilerplate(spark):
