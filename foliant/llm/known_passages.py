@@ -4,7 +4,9 @@ Each shard of the reference becomes one suffix automaton over words. Documents s
 through them: at each word the automaton tells the longest match that ends there
 (matching statistics), and all words of matches of ``width`` words or more go, which are
 the maximal spans above that length. A reference of more than ``MOST_WORDS`` words is
-refused, since all its automata are broadcast; ``substring_dedup`` needs no such bound.
+refused, since all its automata are broadcast; for a larger one, ``substring_dedup`` on the
+union of both, with smaller ids for the reference's texts, has no such bound, but it also
+removes what documents repeat of each other.
 
 Texts are cut into lanes of ``LANE`` words, each read from ``width`` - 1 words before it,
 so that lanes of all texts step together and no text is too long. Words are compared by
@@ -12,7 +14,10 @@ so that lanes of all texts step together and no text is too long. Words are comp
 
 Defined cases: null texts have no words and give ""; texts of the reference without words
 have no spans; a span never runs from one text of the reference into the next; an empty
-reference removes nothing. Columns named like the added ones are replaced.
+reference removes nothing, and an empty table of documents gives no rows; repeated rows are
+rows of their own, and repeated texts of the reference change nothing; a very long text is
+read in lanes, whole; ids are not read. Columns named like the added ones are replaced,
+other extra ones stay.
 """
 
 from __future__ import annotations
