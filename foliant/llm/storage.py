@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     on a cluster that is an error, since executors could not read each other's files.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         master = context.master.split("[")[0]
         if master != "local":

@@ -188,6 +188,24 @@ def test_queries_equal_sql(spark, name):
     assert sorted(str(tuple(r)) for r in got.select(columns).collect()) == want
 
 
+def test_tables_are_written_to_the_shared_folder(spark, tmp_path, monkeypatch):
+    from foliant.llm import storage
+
+    assert storage.shared_folder(spark).endswith(f"foliant-{spark.sparkContext.applicationId}")
+    with monkeypatch.context() as patch:
+        patch.setattr(storage, "shared_folder", lambda spark: f"file://{tmp_path}")
+        found = storage.checkpointed(spark.range(5).withColumn("nothing", F.lit(None)))
+    assert str(tmp_path) in found.inputFiles()[0] and found.where("nothing is null").count() == 5
+    storage.release(found, spark.range(1))
+    assert not list(tmp_path.rglob("*.parquet"))
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, name, default=None: default)
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    assert storage.shared_folder(spark).startswith("file:///")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(ValueError):
+        storage.shared_folder(spark)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
