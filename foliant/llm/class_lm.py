@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrow_text import partial_counts, pieces, split_words
@@ -42,6 +43,8 @@ MIX = 0.8
 BUCKETS = 24
 #: Sweeps over all listed words end when at most this share of them moves, or after so many; words that move together.
 FEW, ALL_SWEEPS, BATCH = 0.01, 8, 256
+#: Runs of units into which a task's counts are cut, and parts of a run that are added up at a time.
+RANGES, PARTS = 256, 256
 
 
 def training(doc: str = "doc_id") -> Column:
@@ -261,26 +264,57 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes by place, which compress better than numbers one after the other."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _values(blob: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def neighbours(chains: DataFrame, group: np.ndarray, end: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How often each unit stands before each class, behind it, and before itself: units, slots and counts, sorted."""
+    """How often each unit stands before each class, behind it, and before itself: units, slots and counts, sorted.
+
+    Each task adds up its own counts and sends them packed, in ``RANGES`` runs of units; a run's
+    parts are added up in groups of ``PARTS`` first, so that no task holds those of all others.
+    """
     shared, slots = chains.sparkSession.sparkContext.broadcast(group), 2 * classes + 1
+    width = -(-len(group) * slots // RANGES)
+    salts = -(-chains.rdd.getNumPartitions() // PARTS)
+    names = ["range", "salt", "keys", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = shared.value
-        held: list[pa.Table] = []
+        group, table = shared.value, np.zeros(len(shared.value) * slots, np.int32)
         for batch in batches:
             for blob in batch.column("units").to_pylist():
-                units = np.frombuffer(blob, np.int32).astype(np.int64)
+                units = _values(blob, np.int32).astype(np.int64)
                 before = np.concatenate([[end], units[:-1]])[: len(units)]
-                same = units[units == before]
-                keys, n = np.unique(np.concatenate([before * slots + group[units], units * slots + classes + group[before], same * slots + 2 * classes]), return_counts=True)
-                held.append(pa.table([pa.array(keys), pa.array(n)], ["key", "n"]))
-        if held:  # a task's sums, at most units times slots
-            yield from pa.concat_tables(held).group_by("key").aggregate([("n", "sum")]).rename_columns(["key", "n"]).to_batches()
-
-    rows = chains.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow().sort_by("key")  # at most units times slots
-    key = rows["key"].to_numpy()
-    return key // slots, key % slots, rows["n"].to_numpy()
+                np.add.at(table, before * slots + group[units], 1)
+                np.add.at(table, units * slots + classes + group[before], 1)
+                np.add.at(table, units[units == before] * slots + 2 * classes, 1)
+        keys = np.flatnonzero(table)
+        starts = np.nonzero(np.diff(keys // width, prepend=-1))[0].tolist()
+        salt = TaskContext.get().partitionId() % salts
+        for x, y in zip(starts, [*starts[1:], len(keys)]):
+            at = int(keys[x]) // width
+            yield pa.record_batch([pa.array([at], pa.int32()), pa.array([salt], pa.int32()), pa.array([_planes((keys[x:y] - at * width).astype(np.uint32))]), pa.array([_planes(table[keys[x:y]].astype(np.int64))])], names)
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.int64)
+        for keys, n in zip(rows["keys"].to_pylist(), rows["n"].to_pylist()):
+            total[_values(keys, np.uint32)] += _values(n, np.int64)
+        at = np.flatnonzero(total)
+        return pa.table([rows["range"].slice(0, 1), rows["salt"].slice(0, 1), pa.array([_planes(at.astype(np.uint32))]), pa.array([_planes(total[at])])], names)
+
+    schema = "range int, salt int, keys binary, n binary"
+    found = chains.mapInArrow(count, schema)
+    if salts > 1:
+        found = found.groupBy("range", "salt").applyInArrow(added, schema)
+    rows = found.groupBy("range").applyInArrow(added, schema).toArrow().sort_by("range")  # at most units times slots
+    key = np.concatenate([np.empty(0, np.int64), *(_values(k, np.uint32).astype(np.int64) + r * width for r, k in zip(rows["range"].to_pylist(), rows["keys"].to_pylist()))])
+    n = np.concatenate([np.empty(0, np.int64), *(_values(v, np.int64) for v in rows["n"].to_pylist())])
+    return key // slots, key % slots, n
 
 
 def train(docs: DataFrame, text: str = "text", listed: int = LISTED) -> tuple[Model, DataFrame]:
@@ -314,7 +348,7 @@ def train(docs: DataFrame, text: str = "text", listed: int = LISTED) -> tuple[Mo
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             ids, bounds, _ = shared.value.tokens_of(batch.column("text"))
-            yield pa.record_batch([pa.array([shared.value.chain(ids, bounds)[0].astype(np.int32).tobytes()], pa.binary())], ["units"])
+            yield pa.record_batch([pa.array([_planes(shared.value.chain(ids, bounds)[0].astype(np.int32))], pa.binary())], ["units"])
 
     chains = checkpointed(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(coded, "units binary"))
     best, before, moved, k = None, model.group, len(model.group), model.classes + 2

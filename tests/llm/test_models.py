@@ -166,6 +166,22 @@ def test_class_scores_are_those_of_plain_counts(spark, listed):
     assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
 
 
+@pytest.mark.parametrize("parts", [class_lm.PARTS, 2])
+def test_neighbours_are_counted(spark, monkeypatch, parts):
+    monkeypatch.setattr(class_lm, "PARTS", parts)
+    rng = np.random.default_rng(5)
+    group = np.append(rng.integers(0, 4, 500), [4, 5])
+    blobs = [np.append(rng.integers(0, 501, rng.integers(0, 90)), 501).astype(np.int32) for _ in range(40)]
+    chains = spark.createDataFrame([(class_lm._planes(b),) for b in blobs], "units binary").repartition(7)
+    want = Counter()
+    for blob in blobs:
+        for a, b in zip([501, *blob.tolist()], blob.tolist()):
+            want.update([(a, int(group[b])), (b, 6 + int(group[a]))] + [(a, 12)] * (a == b))
+    unit, slot, n = class_lm.neighbours(chains, group, 501, 6)
+    found = list(zip(unit.tolist(), slot.tolist()))
+    assert dict(zip(found, n.tolist())) == want and found == sorted(found)
+
+
 def test_words_move_to_the_best_class():
     rng = np.random.default_rng(0)
     classes, k = 5, 7
