@@ -76,7 +76,7 @@ def window_starts(bounds: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The place and fingerprint of each window's anchor, the leftmost of equals."""
+    """The place of each window's anchor, the leftmost of equals, and its fingerprint, scrambled: as least ones, these are low."""
     half = width // 2
     keys = run_keys(h, half)
     best, place = keys[starts], starts.copy()
@@ -85,7 +85,7 @@ def anchors(h: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray,
         less = other < best
         best[less] = other[less]
         place[less] = starts[less] + i
-    return place, best
+    return place, mix64(best)
 
 
 def _deal(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

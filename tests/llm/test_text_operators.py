@@ -169,6 +169,10 @@ def test_rows_of_pieces_spread(spark, buckets):
     order, some, edges = substring_dedup._deal(keys, buckets)
     assert sorted(order.tolist()) == list(range(len(keys))) and (np.diff(some) > 0).all() and 0 <= some[0] and some[-1] < buckets
     assert np.diff(edges).max() <= 3 * len(keys) / buckets + 12
+    h = np.random.default_rng(3).integers(0, 1 << 64, 50_000, dtype=np.uint64)
+    place, key = substring_dedup.anchors(h, np.arange(len(h) - 19), 20)
+    _, _, edges = substring_dedup._deal(key[np.unique(place, return_index=True)[1]], buckets)
+    assert np.diff(edges).max() <= 3 * len(h) / 6 / buckets + 12
 
 
 def test_jaccard_of_nothing(spark):
