@@ -43,7 +43,7 @@ MIX = 0.8
 BUCKETS = 24
 #: Sweeps over all listed words end when at most this share of them moves, or after so many; words that move together.
 FEW, ALL_SWEEPS, BATCH = 0.01, 8, 256
-#: Runs of units into which a task's counts are cut, and parts of a run that are added up at a time.
+#: Shares into which a task's counts are dealt by unit, and parts of a share that are added up at a time.
 RANGES, PARTS = 256, 256
 
 
@@ -276,29 +276,31 @@ def _values(blob: bytes, kind: type) -> np.ndarray:
 def neighbours(chains: DataFrame, group: np.ndarray, end: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How often each unit stands before each class, behind it, and before itself: units, slots and counts, sorted.
 
-    Each task adds up its own counts and sends them packed, in ``RANGES`` runs of units; a run's
-    parts are added up in groups of ``PARTS`` first, so that no task holds those of all others.
+    Each task adds up its own counts and sends them packed, for every ``RANGES``-th unit together, so
+    that frequent words spread; parts are added up in groups of ``PARTS`` first, so that no task holds those of all others.
     """
     shared, slots = chains.sparkSession.sparkContext.broadcast(group), 2 * classes + 1
-    width = -(-len(group) * slots // RANGES)
+    width = -(-len(group) // RANGES) * slots
     salts = -(-chains.rdd.getNumPartitions() // PARTS)
     names = ["range", "salt", "keys", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, table = shared.value, np.zeros(len(shared.value) * slots, np.int32)
+        group = shared.value
+        ahead, behind, own = (np.zeros(n, np.int64) for n in (len(group) * classes, len(group) * classes, len(group)))
         for batch in batches:
             for blob in batch.column("units").to_pylist():
                 units = _values(blob, np.int32).astype(np.int64)
                 before = np.concatenate([[end], units[:-1]])[: len(units)]
-                np.add.at(table, before * slots + group[units], 1)
-                np.add.at(table, units * slots + classes + group[before], 1)
-                np.add.at(table, units[units == before] * slots + 2 * classes, 1)
-        keys = np.flatnonzero(table)
-        starts = np.nonzero(np.diff(keys // width, prepend=-1))[0].tolist()
+                ahead += np.bincount(before * classes + group[units], minlength=len(ahead))
+                behind += np.bincount(units * classes + group[before], minlength=len(behind))
+                own += np.bincount(units[units == before], minlength=len(own))
+        table = np.concatenate([ahead.reshape(-1, classes).astype(np.int32), behind.reshape(-1, classes).astype(np.int32), own[:, None].astype(np.int32)], 1)  # a task has fewer than 2^31 tokens
         salt = TaskContext.get().partitionId() % salts
-        for x, y in zip(starts, [*starts[1:], len(keys)]):
-            at = int(keys[x]) // width
-            yield pa.record_batch([pa.array([at], pa.int32()), pa.array([salt], pa.int32()), pa.array([_planes((keys[x:y] - at * width).astype(np.uint32))]), pa.array([_planes(table[keys[x:y]].astype(np.int64))])], names)
+        for r in range(RANGES):
+            part = table[r::RANGES].ravel()
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.record_batch([pa.array([r], pa.int32()), pa.array([salt], pa.int32()), pa.array([_planes(at.astype(np.uint32))]), pa.array([_planes(part[at].astype(np.int64))])], names)
 
     def added(rows: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
@@ -312,8 +314,11 @@ def neighbours(chains: DataFrame, group: np.ndarray, end: int, classes: int) ->
     if salts > 1:
         found = found.groupBy("range", "salt").applyInArrow(added, schema)
     rows = found.groupBy("range").applyInArrow(added, schema).toArrow().sort_by("range")  # at most units times slots
-    key = np.concatenate([np.empty(0, np.int64), *(_values(k, np.uint32).astype(np.int64) + r * width for r, k in zip(rows["range"].to_pylist(), rows["keys"].to_pylist()))])
+    local = [_values(k, np.uint32).astype(np.int64) for k in rows["keys"].to_pylist()]
+    key = np.concatenate([np.empty(0, np.int64), *((k // slots * RANGES + r) * slots + k % slots for r, k in zip(rows["range"].to_pylist(), local))])
     n = np.concatenate([np.empty(0, np.int64), *(_values(v, np.int64) for v in rows["n"].to_pylist())])
+    order = np.argsort(key)
+    key, n = key[order], n[order]
     return key // slots, key % slots, n
 
 
