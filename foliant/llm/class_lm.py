@@ -106,8 +106,8 @@ def exchange_clusters(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -
 
 
 def _xlog(x: np.ndarray) -> np.ndarray:
-    x = np.maximum(x, 0)
-    return x * np.log(np.maximum(x, 1e-300))
+    x = np.maximum(x, 1e-300)
+    return x * np.log(x)
 
 
 def likelihood(counts: np.ndarray) -> float:
@@ -137,7 +137,7 @@ def exchange_sweep(group: np.ndarray, unit: np.ndarray, slot: np.ndarray, n: np.
         rows, now = np.arange(size), group[at : at + size]
         ahead[rows, now] = np.maximum(ahead[rows, now] - own, 0)
         behind[rows, now] = np.maximum(behind[rows, now] - own, 0)
-        gain = np.zeros((size, k))
+        gain, logs = np.zeros((size, k)), _xlog(counts)
         for part, other, table in ((ahead, behind, counts.T), (behind, ahead, counts)):
             w, d = np.nonzero(part)
             if len(w) == 0:
@@ -148,8 +148,11 @@ def exchange_sweep(group: np.ndarray, unit: np.ndarray, slot: np.ndarray, n: np.
             same = np.nonzero(d == a)[0]
             cells[same] -= other[w[same]]
             cells[same, a[same]] -= own[w[same]]
+            before = (logs.T if table is not counts else logs)[d]  # most cells are the table's own
+            before[np.arange(len(w)), a] = _xlog(cells[np.arange(len(w)), a])
+            before[same] = _xlog(cells[same])
             starts = np.nonzero(np.diff(w, prepend=-1))[0]
-            gain[w[starts]] += np.add.reduceat(_xlog(cells + v[:, None]) - _xlog(cells), starts)
+            gain[w[starts]] += np.add.reduceat(_xlog(cells + v[:, None]) - before, starts)
         corner = np.tile(np.diagonal(counts), (size, 1))
         corner[rows, now] -= ahead[rows, now] + behind[rows, now] + own
         gain += _xlog(corner + ahead + behind + own[:, None]) - _xlog(corner + ahead) - _xlog(corner + behind) + _xlog(corner)
