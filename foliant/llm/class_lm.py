@@ -289,7 +289,7 @@ def neighbours(chains: DataFrame, group: np.ndarray, end: int, classes: int) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = shared.value
-        ahead, behind, own = (np.zeros(n, np.int64) for n in (len(group) * classes, len(group) * classes, len(group)))
+        ahead, behind, own = (np.zeros(n, np.int32) for n in (len(group) * classes, len(group) * classes, len(group)))  # a task has fewer than 2^31 tokens
         for batch in batches:
             for blob in batch.column("units").to_pylist():
                 units = _values(blob, np.int32).astype(np.int64)
@@ -297,7 +297,7 @@ def neighbours(chains: DataFrame, group: np.ndarray, end: int, classes: int) ->
                 ahead += np.bincount(before * classes + group[units], minlength=len(ahead))
                 behind += np.bincount(units * classes + group[before], minlength=len(behind))
                 own += np.bincount(units[units == before], minlength=len(own))
-        table = np.concatenate([ahead.reshape(-1, classes).astype(np.int32), behind.reshape(-1, classes).astype(np.int32), own[:, None].astype(np.int32)], 1)  # a task has fewer than 2^31 tokens
+        table = np.concatenate([ahead.reshape(-1, classes), behind.reshape(-1, classes), own[:, None]], 1)
         salt = TaskContext.get().partitionId() % salts
         for r in range(RANGES):
             part = table[r::RANGES].ravel()
@@ -320,9 +320,10 @@ def neighbours(chains: DataFrame, group: np.ndarray, end: int, classes: int) ->
     local = [_values(k, np.uint32).astype(np.int64) for k in rows["keys"].to_pylist()]
     key = np.concatenate([np.empty(0, np.int64), *((k // slots * RANGES + r) * slots + k % slots for r, k in zip(rows["range"].to_pylist(), local))])
     n = np.concatenate([np.empty(0, np.int64), *(_values(v, np.int64) for v in rows["n"].to_pylist())])
+    del rows, local
     order = np.argsort(key)
     key, n = key[order], n[order]
-    return key // slots, key % slots, n
+    return (key // slots).astype(np.int32), (key % slots).astype(np.int32), n
 
 
 def train(docs: DataFrame, text: str = "text", listed: int = LISTED) -> tuple[Model, DataFrame]:
