@@ -193,6 +193,34 @@ OP11_SQL = r"""
     FROM r"""
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_sql(rounds: int = 6) -> str:
+    """The rounds one after the other; a distance and an index are one number, so that the least of them settles ties."""
+    steps = """
+    k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    x AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS v FROM k, range(8) AS r(p)),
+    b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v AS c FROM x WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 16)),"""
+    for r in range(rounds + 1):
+        steps += f"""
+    a{r} AS MATERIALIZED (SELECT vec_id, x.p, any_value(v) AS v, min(list_sum(list_transform(v, lambda y, i: (y - c[i]) * (y - c[i]))) * 16 + e) AS m FROM x JOIN b{r} USING (p) GROUP BY vec_id, x.p),"""
+        if r < rounds:
+            steps += f"""
+    s{r} AS (SELECT p, e, d, sum(y) AS t, count(*) AS n FROM (SELECT p, m % 16 AS e, unnest(v) AS y, unnest(range(1, len(v) + 1)) AS d FROM a{r}) AS u GROUP BY p, e, d),
+    n{r} AS (SELECT p, e, list(CAST((t - ((t % n) + n) % n) // n AS BIGINT) ORDER BY d) AS c FROM s{r} GROUP BY p, e),
+    b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(n{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN n{r} USING (p, e)),"""
+    return f"""
+    WITH {steps}
+    h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+    f AS (SELECT vec_id, string_agg(printf('%02x', m % 16), '' ORDER BY p) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f JOIN k USING (vec_id), h"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard_join": op2_jaccard_join,
@@ -205,6 +233,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_line_dedup": op10_line_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 SQL: dict[str, str] = {
@@ -214,4 +243,5 @@ SQL: dict[str, str] = {
     "op6_sharding": op6_sql(),
     "op10_line_dedup": OP10_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op12_vector_codes": op12_sql(),
 }
