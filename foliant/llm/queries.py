@@ -221,6 +221,88 @@ def op12_sql(rounds: int = 6) -> str:
     SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f JOIN k USING (vec_id), h"""
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import BASE, judge
+
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carried=["doc_id"]).select("doc_id", *BASE, "base_failed", "kept")
+
+
+def op13_sql() -> str:
+    """The same estimates, each step a few tables; sums are whole numbers and everything else single operations of doubles."""
+    from .quality_rules import BINS, CONSISTENT, CONSISTENT_REWEIGHTED, CUTOFF, GRID, LARGEST, MAD, PAIRS, PSEUDO, PSEUDO_LENGTH, REWEIGHT, RIDGE, STEPS, D
+
+    real = lambda x: f"CAST({x} AS DOUBLE)"
+    each = lambda text: ", ".join(text.format(i=i) for i in range(D))
+    both = lambda text: ", ".join(text.format(i=i, j=j) for i, j in PAIRS)
+    sums = f"count(*) AS m, {each('sum(v{i}) AS s{i}')}, {both('sum(v{i} * v{j}) AS q{i}{j}')}"
+    tables = []
+
+    def factored(name: str, source: str, covariance: dict[str, str], means: str) -> None:
+        """Tables for one column of the root after the other."""
+        tables.append(f"{name}c AS (SELECT g, start, n, {means}, {', '.join(f'{v} AS c{k}' for k, v in covariance.items())} FROM {source})")
+        before = f"{name}c"
+        for i, j in sorted(PAIRS, key=lambda p: (p[1], p[0])):
+            rest = f"c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            value = f"sqrt(greatest({rest}, {real(1)}))" if i == j else f"({rest}) / l{j}{j}"
+            tables.append(f"{name}{i}{j} AS (SELECT *, {value} AS l{i}{j} FROM {before})")
+            before = f"{name}{i}{j}"
+        tables.append(f"{name} AS MATERIALIZED (SELECT *, l00 * l11 * l22 * l33 AS det FROM {before})")
+
+    def estimate(name: str, source: str, factor: float) -> None:
+        tables.append(f"{name}m AS (SELECT g, start, n, {each(f'{real("s{i}")} / m AS mu{{i}}')}, {both(f'{real("q{i}{j}")} / m AS q{{i}}{{j}}')} FROM (SELECT * REPLACE ({real('m')} AS m) FROM {source}) AS u)")
+        factored(name, f"{name}m", {f"{i}{j}": f"(q{i}{j} - mu{i} * mu{j}) * {real(factor)} + {real(RIDGE**2 if i == j else 0)}" for i, j in PAIRS}, each("mu{i}"))
+
+    def measured(name: str, state: str) -> None:
+        tables.append(f"{name}y AS (SELECT x.*, {state}.* EXCLUDE (g) FROM x JOIN {state} ON {state}.g = x.g)")
+        before = f"{name}y"
+        for i in range(D):
+            rest = f"x{i} - mu{i}" + "".join(f" - l{i}{k} * y{k}" for k in range(i))
+            tables.append(f"{name}{i} AS (SELECT *, ({rest}) / l{i}{i} AS y{i} FROM {before})")
+            before = f"{name}{i}"
+        tables.append(f"{name} AS MATERIALIZED (SELECT id, g, start, {each('x{i}')}, y0 * y0 + y1 * y1 + y2 * y2 + y3 * y3 AS d2 FROM {before})")
+
+    x = [f"CAST(least(floor({GRID} * sqrt({real(top)} / {real(f'n_words + {PSEUDO}')}) + {real(0.5)}), {LARGEST}) AS BIGINT)" for top in (f"word_chars + {PSEUDO * PSEUDO_LENGTH}", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    tables.append(f"x AS MATERIALIZED (SELECT id, dense_rank() OVER (ORDER BY lang, source) AS g, {', '.join(f'{v} AS x{i}' for i, v in enumerate(x))} FROM s WHERE NOT base_failed)")
+    tables.append(f"med AS (SELECT g, count(*) AS n, {each('quantile_cont(x{i}, 0.5) AS mu{i}')} FROM x GROUP BY g)")
+    tables.append(f"mad AS (SELECT x.g, 0 AS start, any_value(n) AS n, {each('any_value(mu{i}) AS mu{i}')}, {each('quantile_cont(abs(x{i} - mu{i}), 0.5) AS mad{i}')} FROM x JOIN med ON med.g = x.g GROUP BY x.g)")
+    gap = lambda i: f"mad{i} * {real(MAD)} * (mad{i} * {real(MAD)}) + {real(RIDGE**2)}"
+    factored("b0", "mad", {f"{i}{j}": gap(i) if i == j else real(0) for i, j in PAIRS}, each("mu{i}"))
+    near = "least(greatest(x{i}, floor(mu{i}) - floor(2 * sqrt(c{i}{i}))), floor(mu{i}) + floor(2 * sqrt(c{i}{i})))"
+    tables.append(f"clip AS (SELECT x.g, n, {each(f'CAST({near} AS BIGINT) AS v{{i}}')} FROM x JOIN b0 ON b0.g = x.g)")
+    tables.append(f"e1 AS (SELECT g, 1 AS start, any_value(n) AS n, {sums} FROM clip GROUP BY g)")
+    tables.append(f"e2 AS (SELECT g, 2 AS start, count(*) AS n, {sums} FROM (SELECT g, {each('x{i} AS v{i}')} FROM x) AS u GROUP BY g)")
+    estimate("b1", "e1", 1.0)
+    estimate("b2", "e2", 1.0)
+    columns = f"g, start, n, det, {each('mu{i}')}, {both('l{i}{j}')}"
+    tables.append(f"t0 AS MATERIALIZED (SELECT {columns} FROM b0 UNION ALL SELECT {columns} FROM b1 UNION ALL SELECT {columns} FROM b2)")
+    for step in range(STEPS):
+        measured(f"d{step}", f"t{step}")
+        tables.append(f"k{step} AS (SELECT *, CAST(floor({BINS} * (sqrt(d2) / (sqrt(d2) + 4))) AS INTEGER) AS bin FROM d{step})")
+        tables.append(f"o{step} AS (SELECT *, rank() OVER (PARTITION BY g, start ORDER BY bin) - 1 AS earlier, count(*) OVER (PARTITION BY g, start) AS n FROM k{step})")
+        tables.append(f"e{step}n AS (SELECT g, start, any_value(n) AS n, {sums} FROM (SELECT g, start, n, {each('x{i} AS v{i}')} FROM o{step} WHERE earlier * 4 < n * 3) AS u GROUP BY g, start)")
+        estimate(f"r{step}", f"e{step}n", CONSISTENT)
+        tables.append(f"t{step + 1} AS MATERIALIZED (SELECT {columns} FROM r{step})")
+    tables.append(f"best AS (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY det, start) AS place FROM t{STEPS}) AS u WHERE place = 1)")
+    measured("near", "best")
+    tables.append(f"en AS (SELECT g, 0 AS start, count(*) AS n, {sums} FROM (SELECT g, {each('x{i} AS v{i}')} FROM near WHERE d2 <= {real(REWEIGHT)}) AS u GROUP BY g)")
+    estimate("final", "en", CONSISTENT_REWEIGHTED)
+    measured("far", "final")
+    return rf"""
+    WITH w AS (SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    u AS (SELECT id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p, len(ws) AS n FROM w),
+    k AS (SELECT id, p, p <= n - 4 AS starts, string_agg(word, ' ') OVER (PARTITION BY id ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS key FROM u),
+    f AS (SELECT id, p, starts AND count(*) OVER (PARTITION BY id, starts, key) > 1 AS again FROM k),
+    c AS (SELECT id, bool_or(again) OVER (PARTITION BY id ORDER BY p ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM f),
+    r AS (SELECT id, count_if(covered) AS n_repeat_words FROM c GROUP BY id),
+    l AS (SELECT id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT id, unnest(string_split(t, chr(10))) AS line FROM w) AS v WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id),
+    s AS MATERIALIZED (SELECT w.id, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+                 CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+                 CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(ws) AS base_failed
+          FROM w LEFT JOIN r ON r.id = w.id LEFT JOIN l ON l.id = w.id),
+    {(',' + chr(10) + '    ').join(tables)}
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(d2 <= {CUTOFF}, false) AS kept FROM s LEFT JOIN far ON far.id = s.id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard_join": op2_jaccard_join,
@@ -234,6 +316,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_filter_audit": op11_filter_audit,
     "op12_vector_codes": op12_vector_codes,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 SQL: dict[str, str] = {
@@ -244,4 +327,5 @@ SQL: dict[str, str] = {
     "op10_line_dedup": OP10_SQL,
     "op11_filter_audit": OP11_SQL,
     "op12_vector_codes": op12_sql(),
+    "op13_quality_rules": op13_sql(),
 }
