@@ -37,8 +37,8 @@ MIN_WORDS, MAX_REPEATED, RUN = 10, 20, 5
 #: Words of five letters, without symbols or repeats, that each text is taken to have besides its own.
 PSEUDO, PSEUDO_LENGTH = 50, 5
 GRID, LARGEST = 1024, 65_535
-#: Spread that a statistic may always have, on the grid: 0.05.
-RIDGE = 51
+#: Spread that a statistic may always have, on the grid: one sixteenth.
+RIDGE = 64
 STEPS, BINS = 4, 4096
 #: Quantiles 0.975 and 0.99999 of chi-squared with four degrees of freedom.
 REWEIGHT, CUTOFF = 11.143, 28.474
