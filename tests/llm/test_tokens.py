@@ -178,7 +178,7 @@ def test_shards_of_rows(spark, tmp_path):
 def test_queries_equal_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     found = con.execute(queries.SQL[name])
     columns = [c[0] for c in found.description]
