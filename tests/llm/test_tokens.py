@@ -284,3 +284,33 @@ def test_copies_are_not_boilerplate(spark):
     assert all(r.n_chars == len(r.text) for r in lines.collect())
     kept = stage["near_duplicates"](spark, lines, DATA)
     assert sorted(r.doc_id for r in kept.collect()) == [0, *range(10, 30), 100, *range(110, 130)]
+
+
+@pytest.mark.parametrize("broadcast", [line_dedup.BROADCAST_DIGESTS, 0])
+def test_near_copies_with_a_line_of_their_own_are_not_boilerplate(spark, monkeypatch, broadcast):
+    import corpus_pipeline as pipeline
+
+    monkeypatch.setattr(line_dedup.drop_boilerplate, "__defaults__", tuple(broadcast if x == line_dedup.BROADCAST_DIGESTS else x for x in line_dedup.drop_boilerplate.__defaults__))
+    stage = dict(pipeline.STAGES)
+    own = lambda name, n, size=12: "\n".join(" ".join(f"{name}{i}x{j}" for j in range(size)) for i in range(n))
+    body, long = own("body", 15), own("long", 12, 40).split("\n")
+    texts = [f"menu of all\n{body}\nline of its own {i}" for i in range(10)]  # a third of the host
+    changed = ["\n".join(" ".join(f"new{i}" if (j * 40 + k) % 97 == 7 * i % 97 else w for k, w in enumerate(line.split())) for j, line in enumerate(long)) for i in range(10)]  # a word in some of the lines
+    rows = [(i, t, "aa", "third", len(t)) for i, t in enumerate(texts)] + [(10 + i, f"menu of all\n{own(f'page{i}y', 3)}", "aa", "third", 9) for i in range(20)]
+    rows += [(100 + i, t, "aa", "near", len(t)) for i, t in enumerate(changed)] + [(110 + i, own(f"other{i}y", 2), "aa", "near", 9) for i in range(20)]
+    lines = stage["line_dedup"](spark, documents(spark, rows), DATA).cache()
+    assert {r.doc_id: r.text for r in lines.collect()} == {d: t.removeprefix("menu of all\n") for d, t, *_ in rows}
+    kept = {r.doc_id: r.text for r in stage["near_duplicates"](spark, lines, DATA).collect()}
+    assert sorted(kept) == [0, *range(10, 30), 100, *range(110, 130)] and kept[0] == f"{body}\nline of its own 0"
+
+
+def test_pages_with_a_common_menu_are_not_copies(spark):
+    rng = np.random.default_rng(4)
+    menu = "\n".join(f"menu {i} of the site" for i in range(5))
+    texts = [f"{menu}\n" + " ".join(f"w{k}" for k in rng.integers(0, 5000, 60)) for _ in range(40)]
+    texts += [t + " and few more words" for t in texts[:3]] + texts[:2]
+    rows = spark.createDataFrame([("h", t) for t in texts], "host_key string, text string")
+    pages, units = line_dedup._units(rows)
+    assert pages.count() == 43 and sorted(r["count"] for r in units.groupBy("unit").count().collect()) == [2, 2, 2]
+    again = line_dedup._units(rows.repartition(5))[1]
+    assert sorted(map(tuple, units.collect())) == sorted(map(tuple, again.collect()))
