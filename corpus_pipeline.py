@@ -44,8 +44,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; n_chars is that of the text left.
 
-    Copies are the next stage's work: a host's identical texts count as one page here, and a
-    document that would become blank stays as it was, so that one of its group is left.
+    Copies are the next stage's work: a host's identical texts and near copies count as one page here, and a
+    document that would become blank stays as it was, so that one of its group is left whole.
     """
     clean = line_dedup.drop_boilerplate(_hidden(docs, "text", "source").withColumn("__whole", F.col("text")), copies_once=True)
     changed = (F.col("n_dropped") > 0) & (F.btrim("text", F.lit(" \t\r\n")) != "")
