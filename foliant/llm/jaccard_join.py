@@ -11,8 +11,8 @@ its links. No step writes out all pairs of a group:
   A shingle that only one set has takes a place, but needs no list.
 * An entry of a list has its set's size and the shingle's place in it. Sets of unlike size
   are skipped, and so are places that add up to more than two linked sets can differ by.
-  Long lists are cut into blocks with bounds on size, place and component, and pairs of
-  blocks are skipped as a whole by these bounds.
+  Long lists are cut into blocks of like component, size and place, and pairs of blocks that are
+  of one component, or too far apart in size or place, are skipped as a whole.
 * In each list the least set is compared first. A component that results covers all pairs
   in it; lists in one component are done. In lists that remain, sets in different
   components are compared: pair by pair, once for all lists, in short lists, and in long
@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import mix64, pieces, split_words, word_fingerprints
 from .components import connected_components
+from .skew import attached
 from .storage import checkpointed, release
 
 #: Bytes of text for one bucket of shingles; there are as many buckets as that takes.
@@ -151,6 +152,12 @@ def _numbers(blobs, size: int) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
+def _prints(shingles: np.ndarray) -> tuple[int, int]:
+    """Two fingerprints that tell sets of one size apart."""
+    mixed = mix64(shingles)
+    return tuple(int(x.sum(dtype=np.uint64).view(np.int64)) for x in (mixed, mix64(mixed ^ np.uint64(0xD6E8FEB86659FD93))))
+
+
 def _scan(docs: DataFrame, scheme: Scheme, doc: str, text: str, buckets: int, key_bytes: int) -> DataFrame:
     """Of each piece of the corpus a row of its own, with its documents and who owns its shingles, and a row of distinct shingles for each bucket.
 
@@ -167,8 +174,7 @@ def _scan(docs: DataFrame, scheme: Scheme, doc: str, text: str, buckets: int, ke
                 part = batch.slice(at, PIECE_ROWS)
                 sets = scheme.sets(part.column("text"))
                 sizes = np.array([len(s) for s in sets], np.int64)
-                print1 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                print2 = np.array([mix64(mix64(s) ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                print1, print2 = np.array([_prints(s) for s in sets], np.int64).T
                 given = part.column("doc").is_valid().to_numpy(zero_copy_only=False)
                 first: dict[tuple, int] = {}
                 for i in np.nonzero(given & (sizes > 0))[0].tolist():
@@ -350,12 +356,11 @@ class _Join:
             seen: set = set()  # of a task's repeated rows one is enough
             for batch in pieces(batches):
                 sets = scheme.sets(batch.column("text"))
-                prints = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                names, sizes, given = (batch.column(c).to_pylist() for c in ("id", "n", "f1"))
-                own = [i for i, s in enumerate(sets) if len(s) == sizes[i] and prints[i] == given[i] and names[i] not in seen and not seen.add(names[i])]
+                names, sizes, *given = (batch.column(c).to_pylist() for c in ("id", "n", "f1", "f2"))
+                own = [i for i, s in enumerate(sets) if len(s) == sizes[i] and _prints(s) == (given[0][i], given[1][i]) and names[i] not in seen and not seen.add(names[i])]
                 yield pa.record_batch([pa.array([names[i] for i in own], pa.int64()), pa.array([sizes[i] for i in own], pa.int64()), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], ["id", "n", "shingles"])
 
-        return texts.select("text", "id", "n", "f1").mapInArrow(keep, "id long, n long, shingles array<long>")
+        return texts.select("text", "id", "n", "f1", "f2").mapInArrow(keep, "id long, n long, shingles array<long>")
 
     def _measured(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` (a, b) with the sizes of both sets and how many shingles they share."""
@@ -373,17 +378,43 @@ class _Join:
         fits = F.expr("x.label <> y.label") & self._alike("x.n", "y.n") & self._near("x.n", "x.place", "y.n", "y.place")
         return second.where(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
-    def _long_links(self, rest: DataFrame) -> DataFrame:
-        """A forest of the links between components in long lists, by blocks; pairs of blocks that can't link are skipped."""
+    def _blocks(self, rest: DataFrame) -> DataFrame:
+        """``rest`` of long lists with its ``block``: sets of one component, band of size and band of place.
+
+        Components of less than a block in a list share blocks, whose ``tribe`` is -1. A band of sizes
+        links to its neighbours only. Only a cell with more sets than a block has is cut further, by hash.
+        """
+        step = float(np.log(self.scheme.whole / self.scheme.part)) or 1.0
+        sizes = checkpointed(rest.groupBy("list", "label").agg(F.count("*").alias("n")).where(F.col("n") >= self.block).withColumn("tribe", F.col("label")))
+        rows = attached(rest.select("list", "id", F.col("n").alias("size"), "place", "label"), sizes, ["list", "label"])
+        limit = F.col("size") * (self.scheme.whole - self.scheme.part) / (self.scheme.whole + self.scheme.part)  # the most that a place can be beside one of 0
+        rows = rows.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / step)).withColumn("quarter", F.floor(F.col("place") * 2 / F.greatest(limit, F.lit(1.0))))
+        rows = checkpointed(rows.withColumn("tribe", F.coalesce("tribe", F.lit(-1))))
+        cell = ["list", "tribe", "band", "quarter"]
+        counted = checkpointed(rows.groupBy(*cell).agg(F.count("*").alias("n"), F.ceil(F.count("*") / self.block).cast("int").alias("many")))
+        rows = attached(rows, counted, cell)
+        return rows.withColumn("block", F.xxhash64("tribe", "band", "quarter", F.pmod(F.xxhash64("id"), "many"))).select("list", "id", F.col("size").alias("n"), "place", "label", "tribe", "block")
+
+    def _block_pairs(self, rows: DataFrame) -> DataFrame:
+        """list, i and j: the pairs of ``rows``' blocks that can link and are not of one component; a block meets those of other tribes only."""
         scheme = self.scheme
-        many = F.ceil(F.col("members") / self.block).cast("int")
-        rows = checkpointed(rest.select("list", "id", "n", "place", "label", F.pmod(F.xxhash64("id"), many).cast("int").alias("block")))
-        bounds = rows.groupBy("list", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("place").alias("place"), F.min("label").alias("least"), F.max("label").alias("most"))
-        bounds = checkpointed(bounds)
-        one, two = (bounds.select("list", *[F.col(c).alias(f"{c}{i}") for c in ("block", "low", "high", "place", "least", "most")]) for i in (1, 2))
-        pairs = one.join(two, "list").where("block1 <= block2 and not (least1 = most1 and least2 = most2 and least1 = least2)")
+        bounds = checkpointed(rows.groupBy("list", "tribe", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("place").alias("place"), F.min("label").alias("least"), F.max("label").alias("most")))
+        tribes = checkpointed(bounds.select("list", "tribe").distinct())
+        meet = tribes.toDF("list", "tribe1").join(tribes.toDF("list", "tribe2"), "list").where("tribe1 < tribe2 or tribe1 = -1 and tribe2 = -1")
+        one, two = (bounds.select("list", *[F.col(c).alias(f"{c}{i}") for c in ("tribe", "block", "low", "high", "place", "least", "most")]) for i in (1, 2))
+        pairs = meet.join(one, ["list", "tribe1"]).join(two, ["list", "tribe2"]).where("(tribe1 < tribe2 or block1 <= block2) and not (least1 = most1 and least2 = most2 and least1 = least2)")
         pairs = pairs.where(f"high1 * {scheme.whole} >= low2 * {scheme.part} and high2 * {scheme.whole} >= low1 * {scheme.part}").where(self._near("high1", "place1", "high2", "place2"))
-        pairs = pairs.select("list", F.col("block1").alias("i"), F.col("block2").alias("j"))
+        return pairs.select("list", F.col("block1").alias("i"), F.col("block2").alias("j"))
+
+    def _long_links(self, rest: DataFrame) -> DataFrame:
+        """A forest of the links between components in long lists, by blocks; pairs of blocks that can't link are skipped.
+
+        Most sets of a long list are of one component by now, so that work grows with its
+        members times those of other components.
+        """
+        scheme = self.scheme
+        rows = checkpointed(self._blocks(rest))
+        pairs = checkpointed(self._block_pairs(rows))
         sides = pairs.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
         inside = sides.join(rows, ["list", "block"]).join(self.sets.select("id", "shingles"), "id")
 

@@ -175,6 +175,65 @@ def test_rows_of_pieces_spread(spark, buckets):
     assert np.diff(edges).max() <= 3 * len(h) / 6 / buckets + 12
 
 
+def template_copies(n, rng, far=100):
+    """Near copies of one template, all different, of which one in ``far`` is changed more, as far as to link to no other or to few."""
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(n):
+        w = list(base)
+        for j in rng.choice(120, 1 if i % far else int(rng.integers(4, 9)), replace=False):
+            w[j] = f"other{i}x{j}"
+        rows.append((i, " ".join(w), None, None, 0))
+    return rows
+
+
+def test_blocks_of_one_component_do_not_meet(spark, monkeypatch):
+    seen = []
+
+    def watched(self, rows, own=jaccard_join._Join._block_pairs):
+        pairs = own(self, rows)
+        blocks = rows.select("list", "block").distinct().groupBy("list").count().collect()
+        seen.append((pairs.count(), sum(r["count"] * (r["count"] + 1) // 2 for r in blocks), rows.count()))
+        return pairs
+
+    monkeypatch.setattr(jaccard_join._Join, "_block_pairs", watched)
+    met = {}
+    for n in (200, 400):
+        rows = template_copies(n, np.random.default_rng(3))
+        found = jaccard_join.counted_components(documents(spark, rows), 3, 90, 100, block=8).collect()
+        sets = [frozenset(zip(w, w[1:], w[2:])) for w in (t.split() for _, t, *_ in rows)]
+        links = [[j for j, b in enumerate(sets) if j != i and 100 * len(a & b) >= 90 * len(a | b)] for i, a in enumerate(sets)]
+        label = list(range(n))
+        for _ in range(6):
+            label = [min(label[j] for j in (i, *links[i])) for i in range(n)]
+        assert {r.doc: (r.component_id, r.n_links) for r in found} == {i: (label[i], len(links[i])) for i in range(n)}
+        pairs, every, members = seen.pop()
+        met[n] = pairs
+        assert 0 < pairs < every / 4, (pairs, every, members)
+    assert met[400] < 3.9 * met[200]  # members and outliers have doubled; all pairs of blocks would be more than four times as many
+
+
+def test_blocks_are_skipped_by_size_and_place(spark):
+    join = object.__new__(jaccard_join._Join)
+    join.scheme, join.block = jaccard_join.Scheme(3, 90, 100), 8
+    rng = np.random.default_rng(1)
+    sizes = np.exp(rng.normal(6, 1, 400)).astype(int) + 1
+    rest = [(1, i, int(n), int(rng.integers(0, max(1, n // 10))), i) for i, n in enumerate(sizes)]
+    frame = spark.createDataFrame(rest, "list long, id long, n int, place int, label long")
+    rows = join._blocks(frame).cache()
+    assert sorted(r.id for r in rows.collect()) == list(range(400))
+    block = {r.id: r.block for r in rows.collect()}
+    pairs = {(r.i, r.j) for r in join._block_pairs(rows).collect()}
+    meet = lambda i, j: (block[i], block[j]) in pairs or (block[j], block[i]) in pairs
+    near = lambda x, y: min(x[2], y[2]) * 100 >= max(x[2], y[2]) * 90 and (x[3] + y[3]) * 190 <= (x[2] + y[2]) * 10
+    assert all(meet(x[1], y[1]) for k, x in enumerate(rest) for y in rest[:k] if near(x, y))
+    blocks = len(set(block.values()))
+    assert len(pairs) < blocks * (blocks + 1) / 2 / 5  # sizes
+    same = [(1, i, 1000, int(p), i) for i, p in enumerate(rng.integers(0, 101, 400))]
+    rows = join._blocks(spark.createDataFrame(same, "list long, id long, n int, place int, label long")).cache()
+    blocks = rows.select("block").distinct().count()
+    assert len(join._block_pairs(rows).collect()) < 0.8 * blocks * (blocks + 1) / 2  # places
+
+
 def test_jaccard_of_nothing(spark):
     found, links = jaccard_join.set_components(documents(spark, []))
     assert found.count() == 0 and links.count() == 0
