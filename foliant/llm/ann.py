@@ -23,6 +23,8 @@ fewer candidates than asked for are all returned; an empty table gives no rows.
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -146,6 +148,7 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         return rows.sparkSession.createDataFrame([], schema)
     every = every.where(F.size("v") == quantizer.size)
     counts = every.agg(F.count("*").alias("all"), F.count_if(is_query).alias("queries")).first()
+    n_salts = isqrt(max(1, -(-counts["all"] // candidate_block)) - 1) + 1
     n_blocks, n_query_blocks = max(1, -(-counts["all"] // candidate_block)), max(1, -(-counts["queries"] // query_block))
     block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -165,17 +168,23 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
 
     def of_block(asked: pa.Table, given: pa.Table) -> pa.Table:
         kinds, parts = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]), []
+        salt = given["c"][0].as_py() % n_salts if given.num_rows else 0
         if asked.num_rows and given.num_rows:
             ids, wanted = (np.frombuffer(t["ids"][0].as_py(), np.int64) for t in (given, asked))
             vectors, q = (np.frombuffer(t["vectors"][0].as_py()).reshape(-1, width) for t in (given, asked))
             codes = np.frombuffer(given["codes"][0].as_py(), np.uint8).reshape(len(ids), -1)
             for at in range(0, len(wanted), 128):
                 parts.append(_nearest(shared.value, wanted[at : at + 128], q[at : at + 128], ids, vectors, codes, rerank, nearest))
-        return pa.concat_tables([kinds.empty_table(), *(pa.table(list(p), kinds) for p in parts)])
+        whole = pa.concat_tables([kinds.empty_table(), *(pa.table(list(p), kinds) for p in parts)])
+        return whole.append_column("salt", pa.array(np.full(whole.num_rows, salt, np.int32)))
+
+    def best(rows: DataFrame, *keys: str) -> DataFrame:
+        least = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score")))
+        return rows.groupBy(*keys).agg(F.slice(least, 1, nearest).alias("best"))
 
-    found = queries.groupBy("q", "c").cogroup(candidates.groupBy("q", "c")).applyInArrow(of_block, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, nearest).alias("best"))
-    out = best.select("query_id", F.posexplode("best").alias("place", "b"))
+    found = queries.groupBy("q", "c").cogroup(candidates.groupBy("q", "c")).applyInArrow(of_block, "query_id long, vec_id long, score double, salt int")
+    salted = best(found, "query_id", "salt").select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", "b.score")
+    out = best(salted, "query_id").select("query_id", F.posexplode("best").alias("place", "b"))
     return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
 
 
