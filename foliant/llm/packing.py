@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .arrow_text import gather, pieces
 from .bpe import character_classes, worker_codec
@@ -184,13 +184,14 @@ def write_packed(packed: DataFrame, path: str, width: int = 2) -> None:
     start and the last one's end (a row's cumulative lengths start one further for each row before it), and
     ``<name>.segments.parquet`` has the segments' documents. ``path`` is a folder that all
     executors have mounted. A task's files have a name of their own for each attempt, and
-    ``manifest.json``, put there in one step at the end, lists those that count; files of
-    lost attempts are removed then.
+    ``manifest.json``, put there in one step at the end, lists those that count. Then files of
+    this write's lost attempts are removed, and those that the manifest before this one listed; files of other
+    writes that are still running stay. Of two writes to one folder the later manifest counts.
     """
-    folder = _folder(path)
+    folder, own_prefix = _folder(path), f"part-{uuid.uuid4().hex[:12]}-"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, digest, rows, tokens, length, at = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", hashlib.sha256(), 0, 0, 0, 0
+        name, digest, rows, tokens, length, at = f"{own_prefix}{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", hashlib.sha256(), 0, 0, 0, 0
         batches = (b for b in batches if b.num_rows)
         first = next(batches, None)
         if first is None:
@@ -220,6 +221,7 @@ def write_packed(packed: DataFrame, path: str, width: int = 2) -> None:
                 os.fsync(file.fileno())
         yield pa.record_batch([pa.array([name]), pa.array([rows]), pa.array([tokens]), pa.array([length]), pa.array([digest.hexdigest()])], ["name", "rows", "tokens", "row", "sha256"])
 
+    before = _manifest(folder)["parts"] if os.path.exists(os.path.join(folder, "manifest.json")) else []
     parts = sorted(packed.mapInArrow(run, "name string, rows long, tokens long, row long, sha256 string").collect())  # a row for each task
     os.makedirs(folder, exist_ok=True)
     manifest = os.path.join(folder, "manifest.json")
@@ -228,23 +230,54 @@ def write_packed(packed: DataFrame, path: str, width: int = 2) -> None:
         file.flush()
         os.fsync(file.fileno())
     os.replace(f"{manifest}.new", manifest)
-    named = {p["name"] for p in parts}
+    named, replaced = {p["name"] for p in parts}, {p["name"] for p in before}
     for file in os.listdir(folder):
-        if file.startswith("part-") and file.split(".")[0] not in named:
+        part = file.split(".")[0]
+        if part in replaced or part.startswith(own_prefix) and part not in named:
             os.unlink(os.path.join(folder, file))
 
 
+def _manifest(folder: str) -> dict:
+    with open(os.path.join(folder, "manifest.json")) as file:
+        return json.load(file)
+
+
 def read_packed(path: str) -> Iterator[dict[str, np.ndarray]]:
     """Memory maps of each written part: ids [row, place], cu_seqlens, resets and rows."""
     folder = _folder(path)
-    with open(os.path.join(folder, "manifest.json")) as file:
-        manifest = json.load(file)
+    manifest = _manifest(folder)
     for part in manifest["parts"]:
-        base = os.path.join(folder, part["name"])
-        maps = {"ids": np.memmap(f"{base}.ids", f"<u{manifest['bytes_per_id']}", "r").reshape(part["rows"], part["row"])}
-        for name, kind in (("cu_seqlens", "<i4"), ("resets", "<i4"), ("rows", "<i8")):
-            maps[name] = np.memmap(f"{base}.{name}", kind, "r")
-        yield maps
+        yield _maps(folder, part["name"], part["rows"], part["row"], manifest["bytes_per_id"])
+
+
+def _maps(folder: str, name: str, rows: int, row: int, width: int) -> dict[str, np.ndarray]:
+    base = os.path.join(folder, name)
+    maps = {"ids": np.memmap(f"{base}.ids", f"<u{width}", "r").reshape(rows, row)}
+    return maps | {kind: np.memmap(f"{base}.{kind}", of, "r") for kind, of in (("cu_seqlens", "<i4"), ("resets", "<i4"), ("rows", "<i8"))}
+
+
+def packed_table(spark: SparkSession, path: str, doc: str = "long") -> DataFrame:
+    """The rows that ``write_packed`` put in ``path``, as ``pack`` gives them; ``doc`` is the type of the documents' ids."""
+    folder = _folder(path)
+    manifest = _manifest(folder)
+    width = manifest["bytes_per_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.to_pylist():
+                maps = _maps(folder, part["name"], part["rows"], part["row"], width)
+                segments = pq.read_table(os.path.join(folder, f"{part['name']}.segments.parquet")).combine_chunks()
+                segments = segments.to_struct_array().combine_chunks()
+                for at in range(0, part["rows"], 512):
+                    to = min(at + 512, part["rows"])
+                    ends = maps["rows"][at : to + 1]
+                    offsets, longer = ends - ends[0], ends + np.arange(at, to + 1)
+                    lists = [pa.ListArray.from_arrays(pa.array((longer - longer[0]).astype(np.int32)), pa.array(maps["cu_seqlens"][longer[0] : longer[-1]]))]
+                    lists += [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values) for values in (pa.array(maps["resets"][ends[0] : ends[-1]]), segments.slice(int(ends[0]), int(offsets[-1])))]
+                    yield pa.record_batch([pa.array([r.tobytes() for r in maps["ids"][at:to]], pa.binary()), *lists], ["ids", "cu_seqlens", "resets", "segments"])
+
+    parts = spark.createDataFrame([(p["name"], p["rows"], p["row"]) for p in manifest["parts"]], "name string, rows long, row long")  # a row for each task that wrote
+    return parts.repartition(max(1, len(manifest["parts"]))).mapInArrow(run, f"ids binary, cu_seqlens array<int>, resets array<int>, segments array<struct<doc: {doc}, piece: int, row: bigint>>")
 
 
 def unpack(packed: DataFrame, width: int = 2) -> DataFrame:

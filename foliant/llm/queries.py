@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -142,9 +143,12 @@ def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack
+    from .packing import pack, packed_table, write_packed
+    from .storage import shared_folder
 
-    rows = pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    path = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    write_packed(pack(table(spark, sf_dir, "documents"), tokenizer_path()), path)
+    rows = packed_table(spark, path)
     return rows.select(
         F.element_at("cu_seqlens", -1).alias("n_tokens"),
         F.size("segments").alias("n_segments"),

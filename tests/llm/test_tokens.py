@@ -135,7 +135,14 @@ def test_packed_rows_are_written(spark, tmp_path):
             got.append((maps["ids"][i].tobytes(), maps["cu_seqlens"][a + i : b + i + 1].tolist(), maps["resets"][a:b].tolist(), docs[a:b]))
     assert sorted(got, key=str) == sorted(want, key=str) and len(parts) == 3
     assert len(list((tmp_path / "rows").iterdir())) == 5 * len(parts) + 1
+    table = packing.packed_table(spark, f"file://{tmp_path}/rows")
+    assert table.dtypes == packed.dtypes and sorted(map(str, table.collect())) == sorted(map(str, packed.collect()))
+    other = tmp_path / "rows" / "part-of-another-write.ids"
+    other.write_bytes(b"running")
+    packing.write_packed(packed.limit(3), f"{tmp_path}/rows")
+    assert other.exists() and packing.packed_table(spark, f"{tmp_path}/rows").count() == 3 == sum(len(m["ids"]) for m in packing.read_packed(f"{tmp_path}/rows"))
     packing.write_packed(packed.limit(0), str(tmp_path / "none"))
+    assert packing.packed_table(spark, str(tmp_path / "none")).count() == 0
     assert list(packing.read_packed(str(tmp_path / "none"))) == []
     with pytest.raises(ValueError):
         packing.write_packed(packed, "hdfs://host/rows")
