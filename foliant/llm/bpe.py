@@ -39,6 +39,8 @@ from .arrow_text import gather, partial_counts, pieces, utf8_buffer
 from .frequency import most_frequent
 from .storage import checkpointed
 
+#: Bytes of text that a task encodes and decodes at a time.
+ENCODED_BYTES = 1 << 20
 #: Number of frequent pieces that the lexicon holds; the rest is merged on demand.
 LEXICON_SIZE = 131_072
 LETTER, NUMBER, OTHER, SPACE, SPECIAL = range(5)
@@ -456,7 +458,7 @@ def _with_codec(docs: DataFrame, vocabulary_path: str, size: int, text: str, wor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(*shared.value)
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, "_text", ENCODED_BYTES):
             yield work(codec, batch)
 
     return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
