@@ -142,7 +142,7 @@ class Network:
                 second[k] += 0.01 * (v * v - second[k])
                 w[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def predict(self, raw: np.ndarray, offs: np.ndarray, batch: int = 4096) -> np.ndarray:
+    def predict(self, raw: np.ndarray, offs: np.ndarray, batch: int = 1024) -> np.ndarray:
         """Mean distribution of each text laid out in ``raw``, zeros for empty ones."""
         lengths = np.diff(offs)
         n_spans = -(-lengths // SPAN)
