@@ -21,9 +21,10 @@ in a third of all documents is a few bytes for each of its occurrences; in the s
 each piece settles what repeats within it, and sends only its earliest window of each key.
 Texts are shuffled once, when the words that stay are written.
 
-A passage that all texts share takes one entry of each piece in the bucket of its anchor, 26
-bytes for each of at most ``width`` / 2 + 1 windows. The bitmap has a bit for 8 bytes of text up to
-4 GB of it; beyond that more windows than need be are looked at in the second pass.
+A passage that all texts share takes one entry of each piece for each of its windows, 26 bytes in the bucket
+of the window's key. Beyond ``SALT_BYTES`` of text, pieces of about that much meet first and leave one
+entry together, so that at 100 TB a key has some 4,000 entries in the first step and 6,000 in the second. The bitmap has a
+bit for 8 bytes of text up to 4 GB of it; beyond that more windows than need be are looked at in the second pass.
 
 Ids are integers. Defined cases: null texts have no words; an empty table gives no rows; a
 very long text is one piece and is never cut; ties: of equally early windows all stay; documents of fewer words than a
@@ -48,6 +49,8 @@ from .arrow_text import gather, mix64, pieces, split_words, word_fingerprints
 WIDTH = 20
 #: Bytes of text for one bucket of keys (there are as many buckets as that takes), and bits of the bitmap at most.
 BUCKET_BYTES, MOST_BITS = 8 << 20, 1 << 29
+#: Bytes of text whose pieces meet by key first, before what they have left meets that of all others.
+SALT_BYTES = 16 << 30
 LAST = np.int64((1 << 63) - 1)
 
 
@@ -116,8 +119,8 @@ def _read(blobs, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(parts)).view(kind).ravel() if parts else np.empty(0, kind)
 
 
-def repeated_anchors(docs: DataFrame, text: str, width: int, buckets: int, bits: int) -> np.ndarray:
-    """A bitmap of ``bits`` bits with those of all anchors that occur more than once."""
+def repeated_anchors(docs: DataFrame, text: str, width: int, buckets: int, bits: int, salts: int = 1) -> np.ndarray:
+    """A bitmap of ``bits`` bits with those of all anchors that occur more than once; with ``salts``, equal ones of some tasks meet first."""
     per_bucket = max(8, bits // buckets // 8 * 8)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +130,8 @@ def repeated_anchors(docs: DataFrame, text: str, width: int, buckets: int, bits:
             key = np.sort(key[np.unique(place, return_index=True)[1]])
             key = key[np.concatenate([np.ones(min(2, len(key)), bool), key[2:] != key[:-2]])]  # two of a piece's equals tell that they repeat
             _, some, edges = _deal(key, buckets)
-            yield pa.record_batch([pa.array(some), pa.array(_slices(key, edges), pa.binary())], ["bucket", "keys"])
+            salt = TaskContext.get().partitionId() % salts
+            yield pa.record_batch([pa.array(some), pa.array([salt] * len(some), pa.int32()), pa.array(_slices(key, edges), pa.binary())], ["bucket", "salt", "keys"])
 
     def repeats(rows: pd.DataFrame) -> pd.DataFrame:
         key = np.sort(_read(rows["keys"], np.uint64))
@@ -136,7 +140,16 @@ def repeated_anchors(docs: DataFrame, text: str, width: int, buckets: int, bits:
         flags[(twice % np.uint64(per_bucket)).astype(np.int64)] = True
         return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "bitmap": [np.packbits(flags).tobytes()]})
 
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(scan, "bucket long, keys binary").groupBy("bucket").applyInPandas(repeats, "bucket long, bitmap binary")
+    def fewer(rows: pa.Table) -> pa.Table:
+        key = np.sort(_read(rows["keys"].to_pylist(), np.uint64))
+        key = key[np.concatenate([np.ones(min(2, len(key)), bool), key[2:] != key[:-2]])]
+        return pa.table([rows["bucket"].slice(0, 1), rows["salt"].slice(0, 1), pa.array(_slices(key, np.array([0, len(key)])), pa.binary())], ["bucket", "salt", "keys"])
+
+    schema = "bucket long, salt int, keys binary"
+    keys = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(scan, schema)
+    if salts > 1:
+        keys = keys.groupBy("bucket", "salt").applyInArrow(fewer, schema)
+    found = keys.groupBy("bucket").applyInPandas(repeats, "bucket long, bitmap binary")
     bitmap = np.zeros((buckets, per_bucket // 8), np.uint8)
     rows = found.toArrow()  # bounded by MOST_BITS, whatever the corpus
     for bucket, flags in zip(rows["bucket"].to_pylist(), rows["bitmap"].to_pylist(), strict=True):
@@ -155,17 +168,45 @@ def _later(key: np.ndarray, extra: np.ndarray, doc: np.ndarray, place: np.ndarra
     return order[later], order[~later]
 
 
+#: The columns of an entry, a window that may repeat, and of rows between the steps.
+ENTRY = {"key": np.uint64, "extra": np.uint16, "offsets": np.uint32, "doc": np.int64, "place": np.uint32}
+ROW = ["base", "bucket", "salt", "docs", "digests", "bounds", *ENTRY]
+
+
+def _entries(rows: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The entries of rows of one bucket, and the row of each."""
+    blobs = {c: rows[c].to_pylist() for c in ENTRY}
+    return {c: _read(blobs[c], kind) for c, kind in ENTRY.items()}, np.repeat(np.arange(rows.num_rows), [len(b) // 8 for b in blobs["key"]])
+
+
+def _earliest(rows: pa.Table) -> pa.Table:
+    """Of one bucket in some of the tasks, a row of what is settled and one of the earliest windows for each piece, so that no key has many entries left."""
+    if rows["bucket"][0].as_py() < 0:
+        return rows.select(ROW)
+    entries, row = _entries(rows)
+    later, first = _later(*(entries[c] for c in ("key", "extra", "doc", "place")))
+    later, first, every = np.sort(later), np.sort(first), np.arange(rows.num_rows + 1)
+    found = _slices(entries["offsets"][later], np.searchsorted(row[later], every))
+    left = {c: _slices(v[first], np.searchsorted(row[first], every)) for c, v in entries.items()}
+    settled, some = ([i for i, b in enumerate(blobs) if b] for blobs in (found, left["key"]))
+    at = pa.array(settled + some, pa.int64())
+    base = rows["base"].take(at)
+    bucket = [-1 - b for b in base.slice(0, len(settled)).to_pylist()] + rows["bucket"].take(pa.array(some, pa.int64())).to_pylist()
+    none = [pa.nulls(len(at), rows.schema.field(c).type) for c in ("docs", "digests", "bounds")]
+    blobs = [pa.array([found[i] if c == "offsets" else None for i in settled] + [left[c][i] for i in some], pa.binary()) for c in ENTRY]
+    return pa.table([base, pa.array(bucket, pa.int64()), rows["salt"].take(at), *none, *blobs], ROW)
+
+
 def _resolve(rows: pa.Table) -> pa.Table:
-    """Of one bucket, the windows that are later than others, by piece; tables of documents pass."""
+    """Of one bucket, the windows that are later than others, by piece; tables of documents and what is settled pass."""
     names = ["base", "docs", "digests", "bounds", "offsets"]
     if rows["bucket"][0].as_py() < 0:
         return rows.select(names)
-    blobs = {c: rows[c].to_pylist() for c in ("key", "extra", "offsets", "doc", "place")}
-    key, extra, doc, place = (_read(blobs[c], k) for c, k in (("key", np.uint64), ("extra", np.uint16), ("doc", np.int64), ("place", np.uint32)))
-    base = np.repeat(np.arange(rows.num_rows), [len(b) // 8 for b in blobs["key"]])
+    entries, base = _entries(rows)
+    key, extra, doc, place = (entries[c] for c in ("key", "extra", "doc", "place"))
     later = np.sort(_later(key, extra, doc, place)[0])
     edges = np.searchsorted(base[later], np.arange(rows.num_rows + 1))
-    found = _slices(_read(blobs["offsets"], np.uint32)[later], edges)
+    found = _slices(entries["offsets"][later], edges)
     some = [i for i in range(rows.num_rows) if found[i]]
     none = [pa.nulls(len(some), rows.schema.field(c).type) for c in names[1:4]]
     return pa.table([rows["base"].take(pa.array(some, pa.int64())), *none, pa.array([found[i] for i in some], pa.binary())], names)
@@ -187,7 +228,8 @@ def repeated_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", w
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     buckets = int(max(24, -(-size // BUCKET_BYTES)))
     bits = int(min(MOST_BITS, max(1 << 16, size // 8)))
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, text, width, buckets, bits))
+    salts = int(max(1, -(-size // SALT_BYTES)))
+    shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, text, width, buckets, bits, salts))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
@@ -214,14 +256,17 @@ def repeated_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", w
             table = [pa.array([v] + [None] * len(some), k) for v, k in ((batch.column("doc").to_pylist(), pa.list_(pa.int64())), (batch.column("digest").to_pylist(), pa.list_(pa.string())), (bounds.tolist(), pa.list_(pa.int64())))]
             blobs = [pa.array([s, *p], pa.binary()) for s, p in zip(settled, parts, strict=True)]
             # each piece's own row is a group by itself, so that Spark's hash spreads them over the tasks
-            yield pa.record_batch([pa.array([base] * (1 + len(some))), pa.array([-1 - base, *some.tolist()], pa.int64()), *table, *blobs], names)
+            salt = TaskContext.get().partitionId() % salts
+            yield pa.record_batch([pa.array([base] * (1 + len(some))), pa.array([-1 - base, *some.tolist()], pa.int64()), pa.array([salt] * (1 + len(some)), pa.int32()), *table, *blobs], ROW)
             base += 1
 
-    names = ["base", "bucket", "docs", "digests", "bounds", "key", "extra", "offsets", "doc", "place"]
-    schema = "base long, bucket long, docs array<long>, digests array<string>, bounds array<long>, key binary, extra binary, offsets binary, doc binary, place binary"
+    schema = "base long, bucket long, salt int, docs array<long>, digests array<string>, bounds array<long>, key binary, extra binary, offsets binary, doc binary, place binary"
     digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
     rows = docs.select(F.col(doc).cast("long").alias("doc"), digest.alias("digest"), F.col(text).cast("string").alias("text"))
-    settled = rows.mapInArrow(scan, schema).groupBy("bucket").applyInArrow(_resolve, "base long, docs array<long>, digests array<string>, bounds array<long>, offsets binary")
+    windows = rows.mapInArrow(scan, schema)
+    if salts > 1:
+        windows = windows.groupBy("bucket", "salt").applyInArrow(_earliest, schema)
+    settled = windows.groupBy("bucket").applyInArrow(_resolve, "base long, docs array<long>, digests array<string>, bounds array<long>, offsets binary")
     of_docs = settled.groupBy("base").applyInArrow(_by_document, "id long, digest string, starts binary")
     return of_docs.groupBy(F.struct("id", "digest").alias("key")).agg(F.min("starts").alias("starts"))
 

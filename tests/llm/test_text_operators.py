@@ -276,10 +276,11 @@ def test_prefixes_of_linked_sets_meet():
                 assert len(np.intersect1d(a[: scheme.prefix(len(a))], b[: scheme.prefix(len(b))]))
 
 
-@pytest.mark.parametrize("width", [20, 4])
-def test_repeated_passages(spark, width):
+@pytest.mark.parametrize("width, salt_bytes", [(20, substring_dedup.SALT_BYTES), (4, substring_dedup.SALT_BYTES), (4, 20_000)])
+def test_repeated_passages(spark, monkeypatch, width, salt_bytes):
+    monkeypatch.setattr(substring_dedup, "SALT_BYTES", salt_bytes)
     rows = prose(5) + odd() + [(5006, "another text with the id of the long one", None, None, 1)]
-    data = documents(spark, rows).withColumn("starts", F.lit("clash")).withColumn("n_removed", F.lit("clash"))
+    data = documents(spark, rows).withColumn("starts", F.lit("clash")).withColumn("n_removed", F.lit("clash")).repartition(7)
     got = sorted([(r.doc_id, r.n_words, r.n_removed, r.text) for r in substring_dedup.drop_repeats(data, width=width).collect()], key=key)
     first = {}
     order = lambda doc, at: ((1, 0) if doc is None else (0, doc), at)
@@ -299,6 +300,28 @@ def test_repeated_passages(spark, width):
     assert substring_dedup.drop_repeats(documents(spark, [])).count() == 0
 
 
+def test_a_window_of_all_pieces_leaves_one_entry():
+    rng = np.random.default_rng(1)
+    blobs = {c: [] for c in substring_dedup.ENTRY}
+    for piece in range(50):
+        keys = np.array([7, *rng.integers(8, 40, 3)])
+        for c, v in {"key": keys, "extra": keys % 3, "offsets": np.arange(4) + piece, "doc": np.full(4, 99 - piece), "place": np.arange(4)}.items():
+            blobs[c].append(substring_dedup._slices(v.astype(substring_dedup.ENTRY[c]), np.array([0, 4]))[0])
+    lists = {c: pa.nulls(50, kind) for c, kind in (("docs", pa.list_(pa.int64())), ("digests", pa.list_(pa.string())), ("bounds", pa.list_(pa.int64())))}
+    bases = pa.array(range(50), pa.int64())
+    rows = pa.table({"base": bases, "bucket": pa.array([3] * 50, pa.int64()), "salt": pa.array([0] * 50, pa.int32()), **lists, **{c: pa.array(b, pa.binary()) for c, b in blobs.items()}})
+    left = substring_dedup._earliest(rows)
+    entries, _ = substring_dedup._entries(left.filter(pa.compute.equal(left["bucket"], 3)))
+    assert (entries["key"] == 7).sum() == 1 and entries["doc"][entries["key"] == 7] == 50
+
+    def settled(table):
+        groups = [table.filter(pa.compute.equal(table["bucket"], b)) for b in set(table["bucket"].to_pylist())]
+        found = [row for group in groups for row in substring_dedup._resolve(group).to_pylist()]
+        return sorted((row["base"], at) for row in found for at in substring_dedup._read([row["offsets"]], np.uint32).tolist())
+
+    assert settled(left) == settled(rows) and len(settled(rows)) > 100
+
+
 @pytest.mark.parametrize("broadcast", [line_dedup.BROADCAST_DIGESTS, 0])
 def test_boilerplate_lines(spark, broadcast):
     rows = [(i, f"menu \n{'shared' if i % 3 else f'own {i}'}\n\n text {i}", None, "a" if i % 2 else None, 1) for i in range(60)] + odd() + [(900 + i, "menu", None, "small", 4) for i in range(5)]
