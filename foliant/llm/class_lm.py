@@ -15,8 +15,8 @@ word. Score and base score therefore hold for any vocabulary.
 
 Defined cases: null text is empty and has only its end, and so have empty and blank texts;
 a null id counts as the text ""; repeated rows are rows of their own, in training too; a
-very long text is one text, and no count depends on how it is cut; words of equal count are
-listed in the order of their bytes, and a word for which two classes are as good stays, or
+very long text is one text, and no count depends on how it is cut; if words of one count are
+only listed in part, those with the least hashes are, and a word for which two classes are as good stays, or
 takes the lower one; without training texts all words are unseen, and a table without rows
 to score gives none. Other columns of the scored table are not read, whatever their names.
 """
@@ -45,6 +45,8 @@ BUCKETS = 24
 FEW, ALL_SWEEPS, BATCH = 0.01, 8, 256
 #: Shares into which a task's counts are dealt by unit, and parts of a share that are added up at a time.
 RANGES, PARTS = 256, 256
+#: Tokens after which a task sends its counts, which are 32-bit numbers, and starts anew.
+FULL = (1 << 31) - 1
 
 
 def training(doc: str = "doc_id") -> Column:
@@ -285,18 +287,27 @@ def neighbours(chains: DataFrame, group: np.ndarray, end: int, classes: int) ->
     shared, slots = chains.sparkSession.sparkContext.broadcast(group), 2 * classes + 1
     width = -(-len(group) // RANGES) * slots
     salts = -(-chains.rdd.getNumPartitions() // PARTS)
-    names = ["range", "salt", "keys", "n"]
+    names, full = ["range", "salt", "keys", "n"], FULL
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = shared.value
-        ahead, behind, own = (np.zeros(n, np.int32) for n in (len(group) * classes, len(group) * classes, len(group)))  # a task has fewer than 2^31 tokens
+        group, tokens = shared.value, 0
+        ahead, behind, own = (np.zeros(n, np.int32) for n in (len(group) * classes, len(group) * classes, len(group)))
         for batch in batches:
             for blob in batch.column("units").to_pylist():
                 units = _values(blob, np.int32).astype(np.int64)
+                if tokens + len(units) > full:
+                    yield from packed(ahead, behind, own)
+                    tokens = 0
+                    for counts in (ahead, behind, own):
+                        counts.fill(0)
+                tokens += len(units)
                 before = np.concatenate([[end], units[:-1]])[: len(units)]
                 ahead += np.bincount(before * classes + group[units], minlength=len(ahead))
                 behind += np.bincount(units * classes + group[before], minlength=len(behind))
                 own += np.bincount(units[units == before], minlength=len(own))
+        yield from packed(ahead, behind, own)
+
+    def packed(ahead: np.ndarray, behind: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
         table = np.concatenate([ahead.reshape(-1, classes), behind.reshape(-1, classes), own[:, None]], 1)
         salt = TaskContext.get().partitionId() % salts
         for r in range(RANGES):

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import ann, class_lm, language_id
+from foliant.llm.frequency import most_frequent
 from foliant.llm.language_id import Network
 
 from .samples import documents, odd, prose
@@ -166,9 +167,10 @@ def test_class_scores_are_those_of_plain_counts(spark, listed):
     assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
 
 
-@pytest.mark.parametrize("parts", [class_lm.PARTS, 2])
-def test_neighbours_are_counted(spark, monkeypatch, parts):
+@pytest.mark.parametrize("parts, full", [(class_lm.PARTS, class_lm.FULL), (2, class_lm.FULL), (2, 150)])
+def test_neighbours_are_counted(spark, monkeypatch, parts, full):
     monkeypatch.setattr(class_lm, "PARTS", parts)
+    monkeypatch.setattr(class_lm, "FULL", full)
     rng = np.random.default_rng(5)
     group = np.append(rng.integers(0, 4, 500), [4, 5])
     blobs = [np.append(rng.integers(0, 501, rng.integers(0, 90)), 501).astype(np.int32) for _ in range(40)]
@@ -182,6 +184,18 @@ def test_neighbours_are_counted(spark, monkeypatch, parts):
     assert dict(zip(found, n.tolist())) == want and found == sorted(found)
 
 
+@pytest.mark.parametrize("size", [0, 1, 40, 217, 600, 5000])
+def test_most_frequent_values_fill_the_room(spark, size):
+    rng = np.random.default_rng(3)
+    counts = [(f"w{i}é".encode(), int(n)) for i, n in enumerate(np.minimum(rng.zipf(1.6, 1500), 10**12))]
+    table = spark.createDataFrame(counts, "word binary, n long").repartition(5)
+    hashed = {(r.word, r.n): r.h for r in table.select("word", "n", F.xxhash64("word").alias("h")).collect()}
+    ranked = sorted((c for c in counts if c[1] >= 2), key=lambda c: (-c[1], hashed[bytes(c[0]), c[1]] % (1 << 64)))
+    got = most_frequent(table, size, least=2)
+    assert list(zip(got["word"].to_pylist(), got["n"].to_pylist())) == sorted(ranked[:size], key=lambda c: (-c[1], c[0]))
+    assert most_frequent(table.limit(0), size).num_rows == 0
+
+
 def test_words_move_to_the_best_class():
     rng = np.random.default_rng(0)
     classes, k = 5, 7
