@@ -47,6 +47,8 @@ FEW, ALL_SWEEPS, BATCH = 0.01, 8, 256
 RANGES, PARTS = 256, 256
 #: Tokens after which a task sends its counts, which are 32-bit numbers, and starts anew.
 FULL = (1 << 31) - 1
+#: Tokens whose pairs are counted together before the sweeps, and pairs or cells that are added up at a time in them.
+HELD, STEP = 1 << 21, 1 << 18
 
 
 def training(doc: str = "doc_id") -> Column:
@@ -125,9 +127,7 @@ def exchange_sweep(group: np.ndarray, unit: np.ndarray, slot: np.ndarray, n: np.
     batches, each to the class that is best for it while all others of its batch stay where they are.
     """
     group, moved, k = group.copy(), 0, (_slots(classes) - 1) // 2
-    counts = np.zeros((k, k))
-    first = slot < k
-    np.add.at(counts, (group[unit[first]], slot[first]), n[first])
+    counts = class_bigrams(group, unit, slot, n, k)
     words = len(group) - 2
     batch = max(1, min(batch, words // 64))
     edges = np.searchsorted(unit, np.append(np.arange(0, words, batch), words))
@@ -179,6 +179,15 @@ def _slots(classes: int) -> int:
     return 2 * (classes + 2) + 1
 
 
+def class_bigrams(group: np.ndarray, unit: np.ndarray, slot: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """How often each of ``k`` classes stands before each, from the rows of ``neighbours``."""
+    table = np.zeros(k * (2 * k + 1))
+    for at in range(0, len(unit), STEP):
+        part = slice(at, at + STEP)
+        table += np.bincount(group[unit[part]] * (2 * k + 1) + slot[part], n[part], len(table))
+    return table.reshape(k, 2 * k + 1)[:, :k].copy()
+
+
 class Model:
     """What scoring needs of a corpus, apart from the counts of unlisted words."""
 
@@ -270,71 +279,115 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Bytes by place, which compress better than numbers one after the other."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    """Whole numbers from 0 by the place of their bytes, which compresses better than one after the other.
+
+    The first byte tells how many places there are; higher ones are 0 in all of ``values``.
+    """
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    places = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
+    return bytes([width]) + places[:, :width].T.tobytes()
 
 
 def _values(blob: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    width = blob[0]
+    size = (len(blob) - 1) // width
+    found = np.zeros((size, np.dtype(kind).itemsize), np.uint8)
+    found[:, :width] = np.frombuffer(blob, np.uint8)[1:].reshape(width, size).T
+    return found.view(kind).ravel()
 
 
-def neighbours(chains: DataFrame, group: np.ndarray, end: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def followers(chains: Iterator[np.ndarray], end: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of units that follow each other in ``chains``, each of which starts behind ``end``, and how often, for ``HELD`` tokens together.
+
+    The sweeps read these in place of the tokens: what a pass costs depends on the different pairs.
+    """
+    held: list[np.ndarray] = []
+    tokens = 0
+
+    def counted() -> pa.RecordBatch:
+        keys = np.concatenate(held)
+        keys.sort()
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        n, keys = np.diff(starts, append=len(keys)), keys[starts]
+        return pa.record_batch([pa.array([_planes(c)], pa.binary()) for c in (keys >> 32, keys & 0xFFFFFFFF, n)], ["before", "unit", "n"])
+
+    for chain in chains:
+        for at in range(0, len(chain), HELD):
+            units = chain[at : at + HELD].astype(np.int64)
+            before = np.concatenate([[chain[at - 1] if at else end], units[:-1]])
+            if held and tokens + len(units) > HELD:
+                yield counted()
+                held, tokens = [], 0
+            held.append(before << 32 | units)
+            tokens += len(units)
+    if tokens:
+        yield counted()
+
+
+def neighbours(pairs: DataFrame, group: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How often each unit stands before each class, behind it, and before itself: units, slots and counts, sorted.
 
-    Each task adds up its own counts and sends them packed, for every ``RANGES``-th unit together, so
-    that frequent words spread; parts are added up in groups of ``PARTS`` first, so that no task holds those of all others.
+    ``pairs`` has the rows of ``followers``. Each task adds up its own counts and sends them packed, for every
+    ``RANGES``-th unit together, so that frequent words spread; parts are added up in groups of ``PARTS`` first,
+    so that no task holds those of all others.
     """
-    shared, slots = chains.sparkSession.sparkContext.broadcast(group), 2 * classes + 1
+    shared, slots = pairs.sparkSession.sparkContext.broadcast(group), 2 * classes + 1
     width = -(-len(group) // RANGES) * slots
-    salts = -(-chains.rdd.getNumPartitions() // PARTS)
+    salts = -(-pairs.rdd.getNumPartitions() // PARTS)
     names, full = ["range", "salt", "keys", "n"], FULL
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, tokens = shared.value, 0
         ahead, behind, own = (np.zeros(n, np.int32) for n in (len(group) * classes, len(group) * classes, len(group)))
         for batch in batches:
-            for blob in batch.column("units").to_pylist():
-                units = _values(blob, np.int32).astype(np.int64)
-                if tokens + len(units) > full:
+            for row in range(batch.num_rows):
+                before, unit = (_values(batch.column(c)[row].as_py(), np.int64) for c in ("before", "unit"))
+                n = _values(batch.column("n")[row].as_py(), np.int32)
+                if tokens + int(n.sum()) > full:
                     yield from packed(ahead, behind, own)
                     tokens = 0
                     for counts in (ahead, behind, own):
                         counts.fill(0)
-                tokens += len(units)
-                before = np.concatenate([[end], units[:-1]])[: len(units)]
-                ahead += np.bincount(before * classes + group[units], minlength=len(ahead))
-                behind += np.bincount(units * classes + group[before], minlength=len(behind))
-                own += np.bincount(units[units == before], minlength=len(own))
+                tokens += int(n.sum())
+                for at in range(0, len(n), STEP):
+                    a, b, v = (x[at : at + STEP] for x in (before, unit, n))
+                    np.add.at(ahead, a * classes + group[b], v)
+                    np.add.at(behind, b * classes + group[a], v)
+                    np.add.at(own, b[a == b], v[a == b])
         yield from packed(ahead, behind, own)
 
     def packed(ahead: np.ndarray, behind: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
-        table = np.concatenate([ahead.reshape(-1, classes), behind.reshape(-1, classes), own[:, None]], 1)
+        ahead, behind, own = ahead.reshape(-1, classes), behind.reshape(-1, classes), own[:, None]
         salt = TaskContext.get().partitionId() % salts
         for r in range(RANGES):
-            part = table[r::RANGES].ravel()
+            part = np.concatenate([ahead[r::RANGES], behind[r::RANGES], own[r::RANGES]], 1).ravel()
             at = np.flatnonzero(part)
             if len(at):
-                yield pa.record_batch([pa.array([r], pa.int32()), pa.array([salt], pa.int32()), pa.array([_planes(at.astype(np.uint32))]), pa.array([_planes(part[at].astype(np.int64))])], names)
+                yield pa.record_batch([pa.array([r], pa.int32()), pa.array([salt], pa.int32()), pa.array([_planes(at)]), pa.array([_planes(part[at])])], names)
 
     def added(rows: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
         for keys, n in zip(rows["keys"].to_pylist(), rows["n"].to_pylist()):
             total[_values(keys, np.uint32)] += _values(n, np.int64)
         at = np.flatnonzero(total)
-        return pa.table([rows["range"].slice(0, 1), rows["salt"].slice(0, 1), pa.array([_planes(at.astype(np.uint32))]), pa.array([_planes(total[at])])], names)
+        return pa.table([rows["range"].slice(0, 1), rows["salt"].slice(0, 1), pa.array([_planes(at)]), pa.array([_planes(total[at])])], names)
 
     schema = "range int, salt int, keys binary, n binary"
-    found = chains.mapInArrow(count, schema)
+    found = pairs.mapInArrow(count, schema)
     if salts > 1:
         found = found.groupBy("range", "salt").applyInArrow(added, schema)
-    rows = found.groupBy("range").applyInArrow(added, schema).toArrow().sort_by("range")  # at most units times slots
-    local = [_values(k, np.uint32).astype(np.int64) for k in rows["keys"].to_pylist()]
-    key = np.concatenate([np.empty(0, np.int64), *((k // slots * RANGES + r) * slots + k % slots for r, k in zip(rows["range"].to_pylist(), local))])
-    n = np.concatenate([np.empty(0, np.int64), *(_values(v, np.int64) for v in rows["n"].to_pylist())])
-    del rows, local
-    order = np.argsort(key)
-    key, n = key[order], n[order]
-    return (key // slots).astype(np.int32), (key % slots).astype(np.int32), n
+    rows = found.groupBy("range").applyInArrow(added, schema).toArrow()  # at most units times slots
+    shared.destroy()
+    sizes = np.zeros(len(group), np.int64)
+    for r, keys in zip(rows["range"].to_pylist(), rows["keys"]):
+        sizes[r::RANGES] = np.bincount(_values(keys.as_py(), np.int64) // slots, minlength=len(sizes[r::RANGES]))
+    edges = np.append(0, np.cumsum(sizes))
+    slot, count_of = np.empty(edges[-1], np.int16 if slots < 1 << 15 else np.int32), np.empty(edges[-1], np.int64)
+    for r, keys, n in zip(rows["range"].to_pylist(), rows["keys"], rows["n"]):  # cells of a unit come together, in order
+        keys, size = _values(keys.as_py(), np.int64), sizes[r::RANGES]
+        at = np.arange(len(keys)) + np.repeat(edges[:-1][r::RANGES] - (np.cumsum(size) - size), size)
+        slot[at], count_of[at] = keys % slots, _values(n.as_py(), np.int64)
+    return np.repeat(np.arange(len(group), dtype=np.int32), sizes), slot, count_of
 
 
 def train(docs: DataFrame, text: str = "text", listed: int = LISTED) -> tuple[Model, DataFrame]:
@@ -366,17 +419,16 @@ def train(docs: DataFrame, text: str = "text", listed: int = LISTED) -> tuple[Mo
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            ids, bounds, _ = shared.value.tokens_of(batch.column("text"))
-            yield pa.record_batch([pa.array([_planes(shared.value.chain(ids, bounds)[0].astype(np.int32))], pa.binary())], ["units"])
+        model = shared.value
+        chains = (model.chain(*model.tokens_of(batch.column("text"))[:2])[0] for batch in pieces(batches))
+        yield from followers(chains, model.end)
 
-    chains = checkpointed(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(coded, "units binary"))
+    pairs_of_units = checkpointed(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(coded, "before binary, unit binary, n binary"))
     best, before, moved, k = None, model.group, len(model.group), model.classes + 2
     for sweep in range(ALL_SWEEPS + 1):
-        unit, slot, n = neighbours(chains, model.group, model.end, k)
-        ahead = slot < k
-        table = np.zeros((k, k))
-        np.add.at(table, (model.group[unit[ahead]], slot[ahead]), n[ahead])
+        unit = slot = n = None  # those of the pass before go first
+        unit, slot, n = neighbours(pairs_of_units, model.group, k)
+        table = class_bigrams(model.group, unit, slot, n, k)
         # the first sweep gives the rest their classes, which no longer count as unlisted
         if sweep > 1 and likelihood(table) < likelihood(best):
             model.group = before
@@ -385,7 +437,7 @@ def train(docs: DataFrame, text: str = "text", listed: int = LISTED) -> tuple[Mo
         if sweep == ALL_SWEEPS or moved <= FEW * len(model.group) or not model.classes:
             break
         model.group, moved = exchange_sweep(model.group, unit, slot, n, model.classes)
-    release(chains)
+    release(pairs_of_units)
     model.learn(best)
     return model, counts
 

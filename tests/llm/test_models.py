@@ -174,16 +174,39 @@ def test_neighbours_are_counted(spark, monkeypatch, parts, full):
     rng = np.random.default_rng(5)
     group = np.append(rng.integers(0, 4, 500), [4, 5])
     blobs = [np.append(rng.integers(0, 501, rng.integers(0, 90)), 501).astype(np.int32) for _ in range(40)]
-    chains = spark.createDataFrame([(class_lm._planes(b),) for b in blobs], "units binary").repartition(7)
+    rows = [tuple(c[0].as_py() for c in batch.columns) for b in blobs for batch in class_lm.followers(iter([b]), 501)]
+    pairs = spark.createDataFrame(rows, "before binary, unit binary, n binary").repartition(7)
     want = Counter()
     for blob in blobs:
         for a, b in zip([501, *blob.tolist()], blob.tolist()):
             want.update([(a, int(group[b])), (b, 6 + int(group[a]))] + [(a, 12)] * (a == b))
-    unit, slot, n = class_lm.neighbours(chains, group, 501, 6)
+    unit, slot, n = class_lm.neighbours(pairs, group, 6)
     found = list(zip(unit.tolist(), slot.tolist()))
     assert dict(zip(found, n.tolist())) == want and found == sorted(found)
 
 
+@pytest.mark.parametrize("held", [1, 7, 64, 1 << 21])
+def test_pairs_are_counted_however_they_are_cut(monkeypatch, held):
+    monkeypatch.setattr(class_lm, "HELD", held)
+    rng = np.random.default_rng(7)
+    chains = [np.append(rng.integers(0, 300, n), 300) for n in (0, 5, 90, 1, 40)] + [np.empty(0, np.int64)]
+    want, found = Counter(), Counter()
+    for chain in chains:
+        want.update(zip([300, *chain.tolist()], chain.tolist()))
+    for batch in class_lm.followers(iter(chains), 300):
+        before, unit, n = (class_lm._values(c[0].as_py(), np.int64) for c in batch.columns)
+        assert n.sum() <= held and len(set(zip(before.tolist(), unit.tolist()))) == len(n)
+        for pair, times in zip(zip(before.tolist(), unit.tolist()), n.tolist()):
+            found[pair] += times
+    assert found == want
+
+
+@pytest.mark.parametrize("kind", [np.int32, np.uint32, np.int64])
+@pytest.mark.parametrize("values", [[], [0], [255, 0, 256], [1, 65_535, 65_536], [2**31 - 1, 3]])
+def test_numbers_come_back_from_their_planes(kind, values):
+    assert class_lm._values(class_lm._planes(np.array(values, np.int64)), kind).tolist() == values
+
+
 @pytest.mark.parametrize("size", [0, 1, 40, 217, 600, 5000])
 def test_most_frequent_values_fill_the_room(spark, size):
     rng = np.random.default_rng(3)
