@@ -119,6 +119,17 @@ def likelihood(counts: np.ndarray) -> float:
     return float(_xlog(counts).sum() - _xlog(counts.sum(0)).sum() - _xlog(counts.sum(1)).sum())
 
 
+def _raised(table: np.ndarray, logs: np.ndarray, d: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """By how much n log n of each cell of rows ``d`` rises with ``v`` more; a ``v`` with more rows than the table is worked out for the whole table."""
+    values, which, times = np.unique(v, return_inverse=True, return_counts=True)
+    often = times > len(table)
+    found, listed = np.empty((len(d), len(table))), often[which]
+    whole = _xlog(table + values[often][:, None, None]) - logs
+    found[listed] = whole[(np.cumsum(often) - 1)[which[listed]], d[listed]]
+    found[~listed] = _xlog(table[d[~listed]] + v[~listed, None]) - logs[d[~listed]]
+    return found
+
+
 def exchange_sweep(group: np.ndarray, unit: np.ndarray, slot: np.ndarray, n: np.ndarray, classes: int, batch: int = BATCH) -> tuple[np.ndarray, int]:
     """Classes after each word but the last two units moved once, and how many moved.
 
@@ -145,16 +156,16 @@ def exchange_sweep(group: np.ndarray, unit: np.ndarray, slot: np.ndarray, n: np.
             if len(w) == 0:
                 continue
             v, a = part[w, d], now[w]
-            cells = table[d]  # what each class has with d, less what the word gives its own class
-            cells[np.arange(len(w)), a] -= v
+            terms = _raised(table, logs.T if table is not counts else logs, d, v)
+            left = table[d, a] - v  # what the word gives its own class counts once
+            terms[np.arange(len(w)), a] = _xlog(left + v) - _xlog(left)
             same = np.nonzero(d == a)[0]
-            cells[same] -= other[w[same]]
-            cells[same, a[same]] -= own[w[same]]
-            before = (logs.T if table is not counts else logs)[d]  # most cells are the table's own
-            before[np.arange(len(w)), a] = _xlog(cells[np.arange(len(w)), a])
-            before[same] = _xlog(cells[same])
+            cells = table[d[same]]
+            cells[np.arange(len(same)), a[same]] -= v[same] + own[w[same]]
+            cells -= other[w[same]]
+            terms[same] = _xlog(cells + v[same, None]) - _xlog(cells)
             starts = np.nonzero(np.diff(w, prepend=-1))[0]
-            gain[w[starts]] += np.add.reduceat(_xlog(cells + v[:, None]) - before, starts)
+            gain[w[starts]] += np.add.reduceat(terms, starts)
         corner = np.tile(np.diagonal(counts), (size, 1))
         corner[rows, now] -= ahead[rows, now] + behind[rows, now] + own
         gain += _xlog(corner + ahead + behind + own[:, None]) - _xlog(corner + ahead) - _xlog(corner + behind) + _xlog(corner)
@@ -166,10 +177,11 @@ def exchange_sweep(group: np.ndarray, unit: np.ndarray, slot: np.ndarray, n: np.
         gain[rows, now] += 1e-9
         best = np.argmax(gain[:, :classes], 1)
         gone = np.nonzero(best != now)[0]
-        for sign, c in ((-1, now[gone]), (1, best[gone])):
-            np.add.at(counts, c, sign * ahead[gone])
-            np.add.at(counts.T, c, sign * behind[gone])
-            np.add.at(counts, (c, c), sign * own[gone])
+        change = np.zeros((k, len(gone)))
+        change[best[gone], np.arange(len(gone))] = 1
+        change[now[gone], np.arange(len(gone))] = -1
+        counts += change @ ahead[gone] + (change @ behind[gone]).T
+        counts[np.arange(k), np.arange(k)] += change @ own[gone]
         group[at : at + size] = best
         moved += len(gone)
     return group, moved
