@@ -181,18 +181,29 @@ def test_shards_of_rows(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == docs.count()
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
-def test_queries_equal_sql(spark, name):
+def equals_sql(spark, name: str, data: str) -> list[dict]:
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for table in ("documents", "benchmark", "labels", "embeddings"):
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     found = con.execute(queries.SQL[name])
     columns = [c[0] for c in found.description]
     want = sorted(map(str, found.fetchall()))
-    got = queries.QUERIES[name](spark, DATA)
+    got = queries.QUERIES[name](spark, data)
     assert sorted(got.columns) == sorted(columns)
-    assert sorted(str(tuple(r)) for r in got.select(columns).collect()) == want
+    rows = got.select(columns).collect()
+    assert sorted(str(tuple(r)) for r in rows) == want
+    return [r.asDict() for r in rows]
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_equal_sql(spark, name):
+    equals_sql(spark, name, DATA)
+
+
+def test_boilerplate_sql_where_lines_go(spark):
+    rows = equals_sql(spark, "op10_line_dedup", "/root/testdata/sf0.01")  # all its hosts have enough pages, those of DATA do not
+    assert sum(r["n_dropped"] for r in rows) > 0
 
 
 def test_tables_are_written_to_the_shared_folder(spark, tmp_path, monkeypatch):
