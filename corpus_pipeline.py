@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``documents``, in their order. Between stages rows are Parquet tables in the
-shared folder.
+shared folder. Stages that run Python bound the batches that Spark sends it, if the session has no bound of its own.
 
 Defined cases, in every stage: an empty table gives an empty one; extra columns pass through
 all stages but the last, whatever their names, except that names that begin with two
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup
+from foliant.llm.arrow_text import bounded_batches
 from foliant.llm.queries import table, tokenizer_path
 from foliant.llm.storage import checkpointed, release
 
@@ -36,6 +37,7 @@ def _shown(found: DataFrame, docs: DataFrame, *read: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay; those without letters or with a pooled probability below one half go."""
+    bounded_batches(spark)
     network = language_id.train(docs.where(~language_id.held_out()))
     found = language_id.predict(_hidden(docs, "text"), network)
     return _shown(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.MIN_SCORE)), docs, "text")
@@ -58,6 +60,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without words or id stay, and so does a row whose id another row shares, unless its own text goes.
     """
+    bounded_batches(spark)
     return jaccard_join.drop_near_duplicates(docs, SHINGLE, PART, WHOLE)
 
 
@@ -69,6 +72,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, encoded and decoded."""
+    bounded_batches(spark)
     return bpe.encode_and_decode(docs, tokenizer_path())
 
 

@@ -12,9 +12,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text that one step works on at a time, unless a single text is longer.
 PIECE_BYTES = 4 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Spark sends Python batches of about ``PIECE_BYTES`` (one row, if it is longer), unless the session has a limit of its own.
+
+    By default a batch has up to 64 MB, which the executor and its worker both hold while ``pieces`` cuts it.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(PIECE_BYTES))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

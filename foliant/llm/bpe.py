@@ -24,22 +24,24 @@ from __future__ import annotations
 
 import functools
 import heapq
-import itertools
 import json
 import mmap
 import struct
 import tempfile
+import weakref
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrow_text import gather, partial_counts, pieces, utf8_buffer
 from .frequency import most_frequent
 from .storage import checkpointed
 
-#: Bytes of text that a task encodes and decodes at a time.
+#: Bytes of text that a task cuts, or encodes and decodes, at a time.
 ENCODED_BYTES = 1 << 20
 #: Number of frequent pieces that the lexicon holds; the rest is merged on demand.
 LEXICON_SIZE = 131_072
@@ -323,14 +325,14 @@ class Codec:
     """Encodes Arrow string arrays to flat ids and offsets, and back."""
 
     #: Merged pieces that a worker remembers, in each of two generations, and the longest of them in bytes.
-    REMEMBERED, REMEMBERED_BYTES = 200_000, 64
+    REMEMBERED, REMEMBERED_BYTES = 50_000, 64
 
     def __init__(self, content: bytes, image: bytes | None = None, classes: np.ndarray | None = None):
         self.vocabulary = Vocabulary(content)
         self.lexicon = Lexicon.mapped(image) if image else None
         self.classes = classes
-        self.merged: dict[bytes, list[int]] = {}
-        self.older: dict[bytes, list[int]] = {}
+        self.merged: dict[bytes, bytes] = {}  # 32-bit ids, since lists of numbers take twice the memory
+        self.older: dict[bytes, bytes] = {}
         self.token_bytes = pa.array(self.vocabulary.tokens, pa.large_binary())
 
     def cut(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
@@ -355,16 +357,16 @@ class Codec:
         for value in words.take(pa.array(unseen)).to_pylist():
             ids = kept.get(value)
             if ids is None:
-                ids = older.get(value) or merge(value)
+                ids = older.get(value) or array("i", merge(value)).tobytes()
                 if len(value) <= self.REMEMBERED_BYTES:
                     if len(kept) >= self.REMEMBERED:
                         self.older, self.merged = older, kept = kept, {}
                     kept[value] = ids
             found.append(ids)
-        lengths[unseen] = np.fromiter(map(len, found), np.int64, len(found))
+        lengths[unseen] = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         flat = np.empty(int(ends[-1]), np.int32)
-        flat[gather(ends[unseen], lengths[unseen])] = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths[unseen].sum()))
+        flat[gather(ends[unseen], lengths[unseen])] = np.frombuffer(b"".join(found), np.int32)
         if len(hit):
             flat[gather(ends[hit], lengths[hit])] = self.lexicon.ids[gather(self.lexicon.offsets[ranks[hit]].astype(np.int64), lengths[hit])]
         return flat, ends
@@ -396,16 +398,18 @@ class Codec:
         return [bytes(raw[a:b]).decode("utf-8", "replace").encode() for a, b in zip(at, at[1:], strict=False)]
 
 
-_codecs: dict[tuple, Codec] = {}
+_codecs: weakref.WeakKeyDictionary[Broadcast, Codec] = weakref.WeakKeyDictionary()
 
 
-def worker_codec(content: bytes, image: bytes | None = None, classes: np.ndarray | None = None) -> Codec:
-    """A codec that the tasks of a worker process share one after the other; only the latest is held."""
-    key = (hash(content), hash(image))
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(content, image, classes)
-    return _codecs[key]
+def worker_codec(shared: Broadcast, content: bytes, image: bytes | None = None, classes: np.ndarray | None = None) -> Codec:
+    """A codec that the tasks of a worker process share one after the other.
+
+    It goes with ``shared``, the broadcast that it is made of: Spark takes that from a worker
+    whose next task is of another kind, so that no worker keeps a codec for the rest of its life.
+    """
+    if shared not in _codecs:
+        _codecs[shared] = Codec(content, image, classes)
+    return _codecs[shared]
 
 
 def decimal_lists(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -430,10 +434,10 @@ def frequent_pieces(docs: DataFrame, content: bytes, size: int = LEXICON_SIZE, t
     shared = docs.sparkSession.sparkContext.broadcast((content, character_classes()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(shared.value[0], classes=shared.value[1])
+        codec = worker_codec(shared, shared.value[0], classes=shared.value[1])
 
         def encoded() -> Iterator[tuple[pa.Array, np.ndarray]]:
-            for batch in pieces(batches):
+            for batch in pieces(batches, limit=ENCODED_BYTES):
                 words, special, _ = codec.cut(batch.column("text"))
                 yield words.dictionary, words.indices.to_numpy(zero_copy_only=False)[~special]
 
@@ -457,7 +461,7 @@ def _with_codec(docs: DataFrame, vocabulary_path: str, size: int, text: str, wor
     shared = docs.sparkSession.sparkContext.broadcast((content, image, character_classes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(*shared.value)
+        codec = worker_codec(shared, *shared.value)
         for batch in pieces(batches, "_text", ENCODED_BYTES):
             yield work(codec, batch)
 
@@ -486,7 +490,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids: str = "ids", out: str
     def text_of(column):
         import pandas as pd
 
-        codec = worker_codec(shared.value)
+        codec = worker_codec(shared, shared.value)
         none = column.isna()
         lengths = np.array([0 if m else len(v) for v, m in zip(column, none, strict=True)], np.int64)
         flat = np.concatenate([np.asarray(v, np.int64) for v, m in zip(column, none, strict=True) if not m] or [np.empty(0, np.int64)])

@@ -57,6 +57,8 @@ BUCKET_BYTES = 8 << 20
 SHORT_LIST, BLOCK = 24, 256
 #: Ids that may be broadcast to pick texts (some 40 MB); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Bytes of text whose words are held at a time while sets are made.
+SHINGLED_BYTES = 1 << 20
 #: Rows of a piece at most, since places in it are 16-bit numbers.
 PIECE_ROWS = 1 << 15
 
@@ -73,6 +75,10 @@ class Scheme:
 
     def sets(self, texts: pa.Array) -> list[np.ndarray]:
         """The sorted distinct shingle fingerprints of each text."""
+        some = pieces(iter([pa.record_batch([texts], ["text"])]), limit=SHINGLED_BYTES)
+        return [s for piece in some for s in self._sets(piece.column("text"))]
+
+    def _sets(self, texts: pa.Array) -> list[np.ndarray]:
         words, bounds = split_words(texts, lower=True)
         codes, k = words.indices.to_numpy(zero_copy_only=False), self.width
         prints = word_fingerprints(words.dictionary)

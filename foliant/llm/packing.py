@@ -138,7 +138,7 @@ def pack(docs: DataFrame, vocabulary_path: str, row: int = ROW_TOKENS, doc: str
     id_kind = docs.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(shared.value[0], classes=shared.value[1])
+        codec = worker_codec(shared, shared.value[0], classes=shared.value[1])
         special = codec.vocabulary.special
         fill = pad if pad is not None else min(special.values(), default=0)
         kind = "<u2" if len(codec.vocabulary.tokens) <= 1 << 16 else "<u4"

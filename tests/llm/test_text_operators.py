@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -147,6 +148,24 @@ def test_links_follow_from_a_pivot(spark):
         assert {r.doc: r.n_links for r in jaccard_join.counted_components(docs, 3, 90, 100, **limits).collect()} == want
 
 
+def test_sets_hold_few_words_at_a_time():
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"word{k}" for k in rng.integers(0, 30_000, 500)) for _ in range(800)] + ["", None, "one"])
+    size = int(pa.compute.sum(pa.compute.binary_length(texts)).as_py())
+    assert 3 << 20 < size < PIECE_BYTES
+    scheme = jaccard_join.Scheme(5, 80, 100)
+    scheme.sets(texts.slice(0, 1))
+    tracemalloc.start()
+    try:
+        sets = scheme.sets(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 5 * size, peak / size  # of which the sets have about one
+    alone = [scheme.sets(texts.slice(i, 1))[0] for i in range(len(texts))]
+    assert len(sets) == len(alone) and all((a == b).all() and len(a) == len(b) for a, b in zip(sets, alone))
+
+
 @pytest.mark.parametrize("broadcast", [jaccard_join.BROADCAST_IDS, 0])
 def test_near_duplicates_go_by_row(spark, broadcast):
     text = lambda name, skip: " ".join(f"{name}{i}" for i in range(60) if i != skip)

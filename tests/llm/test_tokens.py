@@ -1,9 +1,11 @@
 """Tokens, packing, sharding, the queries' SQL and the pipeline."""
 
+import gc
 import hashlib
 import json
 import random
 import re
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe, language_id, line_dedup, packing, queries, sharding
+from foliant.llm.arrow_text import BATCH_BYTES, PIECE_BYTES
 
 from .samples import documents, odd, prose
 
@@ -332,3 +335,36 @@ def test_pages_with_a_common_menu_are_not_copies(spark):
     assert pages.count() == 43 and sorted(r["count"] for r in units.groupBy("unit").count().collect()) == [2, 2, 2]
     again = line_dedup._units(rows.repartition(5))[1]
     assert sorted(map(tuple, units.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_a_codec_goes_with_its_broadcast(spark):
+    with open(queries.tokenizer_path(), "rb") as file:
+        shared = spark.sparkContext.broadcast(file.read())
+    codec = weakref.ref(bpe.worker_codec(shared, shared.value))
+    gc.collect()
+    assert codec() is not None and bpe.worker_codec(shared, shared.value) is codec()
+    del shared  # as Spark does in a worker whose next task has no use for it
+    gc.collect()
+    assert codec() is None
+
+
+def test_pipeline_bounds_batches(spark):
+    import corpus_pipeline as pipeline
+
+    def sizes(batches):
+        yield from (pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"]) for b in batches)
+
+    texts = spark.range(0, 400, 1, 1).select(F.when(F.col("id") == 7, F.repeat(F.lit("long "), 2 << 20)).otherwise(F.repeat(F.lit("word "), 16_000)).alias("text"))
+    docs = documents(spark, odd())
+    try:
+        for name in ("language_id", "near_duplicates", "bpe"):
+            spark.conf.unset(BATCH_BYTES)
+            dict(pipeline.STAGES)[name](spark, docs, DATA)
+            found = texts.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r.n for r in found) == 400
+            assert max(r.bytes for r in found if r.bytes < 10 << 20) < PIECE_BYTES + 200_000 and sum(r.bytes >= 10 << 20 for r in found) == 1
+        spark.conf.set(BATCH_BYTES, "1m")
+        pipeline.token_stage(spark, docs, DATA)
+        assert spark.conf.get(BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.unset(BATCH_BYTES)
