@@ -29,7 +29,6 @@ import mmap
 import struct
 import tempfile
 import weakref
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -158,6 +157,8 @@ class Vocabulary:
 
     #: Pieces of so many bytes are merged by scanning all pairs; no pair has the rank NONE.
     SHORT, NONE = 48, (1 << 62, -1)
+    #: Bytes of pieces that ``merge_all`` works on at a time.
+    MERGED_BYTES = 1 << 17
 
     def __init__(self, content: bytes):
         spec = json.loads(content)
@@ -177,6 +178,78 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = (as_bytes(s) for s in (pair.split(" ") if isinstance(pair, str) else pair))
             self.ranks.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+        # the same as arrays: pairs as sorted numbers (no token has the id ``size``), and what each makes
+        pairs = np.array(list(self.ranks), np.int64).reshape(-1, 2)
+        made = np.array(list(self.ranks.values()), np.int64).reshape(-1, 2)
+        numbers = pairs[:, 0] * (size + 1) + pairs[:, 1]
+        order = np.argsort(numbers)
+        self.pairs, self.pair_rank = np.append(numbers[order], 1 << 62), np.append(made[order, 0], self.NONE[0] >> 32)
+        self.made = np.zeros(len(model["merges"]), np.int32)
+        self.made[made[:, 0]] = made[:, 1]
+        self.single_ids = np.array(self.single, np.int32)
+        self.byte_rank = self._rank(self.single_ids.repeat(256), np.tile(self.single_ids, 256)).reshape(256, 256)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, NONE shifted by 32 bits where they never merge."""
+        number = left.astype(np.int64) * (len(self.tokens) + 1) + right
+        at = np.searchsorted(self.pairs, number)
+        return np.where(self.pairs[at] == number, self.pair_rank[at], self.NONE[0] >> 32)
+
+    def merge_all(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pieces of ``raw``, flat, and their offsets; each as ``merge`` gives them."""
+        counts, found, short = np.zeros(len(starts), np.int64), [], np.nonzero(lengths <= self.SHORT)[0]
+        short = short[np.argsort(lengths[short], kind="stable")]
+        sums = np.cumsum(lengths[short])
+        a = 0
+        while a < len(short):
+            b = max(a + 1, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + self.MERGED_BYTES, side="right")))
+            ids, counts[short[a:b]] = self._merge_rounds(raw, starts[short[a:b]], lengths[short[a:b]])
+            found.append(ids)
+            a = b
+        long = np.nonzero(lengths > self.SHORT)[0]
+        for i, start, n in zip(long.tolist(), starts[long].tolist(), lengths[long].tolist(), strict=True):
+            found.append(np.array(self._merge_long(raw[start : start + n].tobytes()), np.int32))
+            counts[i] = len(found[-1])
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        flat, order = np.empty(int(ends[-1]), np.int32), np.concatenate([short, long])
+        flat[gather(ends[order], counts[order])] = np.concatenate([np.empty(0, np.int32), *found])
+        return flat, ends
+
+    def _merge_rounds(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their number for pieces by rising length; each round merges one pair of every piece that has one.
+
+        Ids are a linked list in place, whose last item stands for both ends of every piece. A pair's
+        key is its rank, then its place, so that the least is the one to merge.
+        """
+        edges = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        total, filled = int(edges[-1]), lengths > 0
+        data = raw[gather(starts, lengths)]
+        ids = np.append(self.single_ids[data], len(self.tokens))
+        after, before = np.arange(1, total + 2), np.arange(-1, total)
+        after[edges[1:][filled] - 1] = before[edges[:-1][filled]] = total
+        none = self.NONE[0]
+        keys = np.full(total + 1, none)
+        if total > 1:
+            keys[: total - 1] = (self.byte_rank[data[:-1], data[1:]] << 32) + np.arange(total - 1)
+        keys[after == total] = none
+        for merged in range(1, self.SHORT):  # a piece of n bytes has n - 1 merges at most
+            first = int(np.searchsorted(lengths, merged, side="right"))
+            if first == len(lengths):
+                break
+            base = edges[first]
+            least = np.minimum.reduceat(keys[base:total], edges[first:-1] - base)
+            least = least[least < none]
+            if len(least) == 0:
+                break
+            at = least & 0xFFFFFFFF
+            gone, previous = after[at], before[at]
+            following = after[gone]
+            ids[at], ids[gone] = self.made[least >> 32], -1
+            after[at], before[following], keys[gone] = following, at, none
+            keys[at] = (self._rank(ids[at], ids[following]) << 32) + at
+            keys[previous] = (self._rank(ids[previous], ids[at]) << 32) + previous
+        alive = np.nonzero(ids[:total] >= 0)[0]
+        return ids[alive], np.diff(np.searchsorted(alive, edges))
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece by its merges, lowest rank first and leftmost of equals."""
@@ -324,15 +397,10 @@ class Lexicon:
 class Codec:
     """Encodes Arrow string arrays to flat ids and offsets, and back."""
 
-    #: Merged pieces that a worker remembers, in each of two generations, and the longest of them in bytes.
-    REMEMBERED, REMEMBERED_BYTES = 50_000, 64
-
     def __init__(self, content: bytes, image: bytes | None = None, classes: np.ndarray | None = None):
         self.vocabulary = Vocabulary(content)
         self.lexicon = Lexicon.mapped(image) if image else None
         self.classes = classes
-        self.merged: dict[bytes, bytes] = {}  # 32-bit ids, since lists of numbers take twice the memory
-        self.older: dict[bytes, bytes] = {}
         self.token_bytes = pa.array(self.vocabulary.tokens, pa.large_binary())
 
     def cut(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
@@ -346,27 +414,20 @@ class Codec:
     def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces, flat, and their offsets."""
         n = len(words)
+        if n == 0:
+            return np.empty(0, np.int32), np.zeros(1, np.int64)
+        _, offsets, data = words.buffers()
+        edges, raw = np.frombuffer(offsets, np.int64)[words.offset : words.offset + n + 1], np.frombuffer(data, np.uint8)
         lengths, ranks = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-        if self.lexicon is not None and n:
-            _, offsets, data = words.buffers()
-            edges = np.frombuffer(offsets, np.int64)[words.offset : words.offset + n + 1]
-            ranks = self.lexicon.ranks(np.frombuffer(data, np.uint8), edges[:-1], np.diff(edges))
+        if self.lexicon is not None:
+            ranks = self.lexicon.ranks(raw, edges[:-1], np.diff(edges))
             lengths = np.where(ranks >= 0, self.lexicon.offsets[ranks + 1] - self.lexicon.offsets[ranks], 0).astype(np.int64)
         unseen, hit = np.nonzero(ranks < 0)[0], np.nonzero(ranks >= 0)[0]
-        merge, kept, older, found = self.vocabulary.merge, self.merged, self.older, []
-        for value in words.take(pa.array(unseen)).to_pylist():
-            ids = kept.get(value)
-            if ids is None:
-                ids = older.get(value) or array("i", merge(value)).tobytes()
-                if len(value) <= self.REMEMBERED_BYTES:
-                    if len(kept) >= self.REMEMBERED:
-                        self.older, self.merged = older, kept = kept, {}
-                    kept[value] = ids
-            found.append(ids)
-        lengths[unseen] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        merged, bounds = self.vocabulary.merge_all(raw, edges[unseen], np.diff(edges)[unseen])
+        lengths[unseen] = np.diff(bounds)
         ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         flat = np.empty(int(ends[-1]), np.int32)
-        flat[gather(ends[unseen], lengths[unseen])] = np.frombuffer(b"".join(found), np.int32)
+        flat[gather(ends[unseen], lengths[unseen])] = merged
         if len(hit):
             flat[gather(ends[hit], lengths[hit])] = self.lexicon.ids[gather(self.lexicon.offsets[ranks[hit]].astype(np.int64), lengths[hit])]
         return flat, ends

@@ -78,6 +78,28 @@ def test_transducer_is_minimal_and_exact(codec):
     assert len(bpe.Lexicon.mapped(bpe.compile_lexicon({})).ranks(np.frombuffer(b"a", np.uint8), np.array([0]), np.array([1]))) == 1
 
 
+@pytest.mark.parametrize("at_once", [1, 37, 1 << 17])
+def test_pieces_are_merged_together(codec, monkeypatch, at_once):
+    vocabulary, rng = codec.vocabulary, random.Random(11)
+    monkeypatch.setattr(bpe.Vocabulary, "MERGED_BYTES", at_once)
+    made = ["".join(rng.choice(["a", "an", "the", "in", " ", "é", "aa", "9", "ing"]) for _ in range(rng.randint(0, 30))).encode() for _ in range(400)]
+    found = [b"", b"a", b" ", b"aaaa", b"a" * 47, b"a" * 48, b"a" * 49, b"\xff\xfe\x00", bytes(range(256)), b"ab" * 300, *made, b"", b"z"]
+    lengths = np.array([len(p) for p in found])
+    ids, bounds = vocabulary.merge_all(np.frombuffer(b"".join(found), np.uint8), np.cumsum(lengths) - lengths, lengths)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [vocabulary.merge(p) for p in found]
+    ids, bounds = vocabulary.merge_all(np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64))
+    assert ids.tolist() == [] and bounds.tolist() == [0]
+
+
+def test_distinct_pieces_are_not_merged_one_by_one(library, codec, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 14))) for _ in range(200)) for _ in range(50)]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    monkeypatch.setattr(bpe.Vocabulary, "merge", lambda self, piece: pytest.fail(f"{piece} was merged by itself"))
+    ids, bounds = codec.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [w.ids for w in want]
+
+
 def test_encoding_of_tables(spark, library):
     rows = [(i, t, None, None, 0) for i, t in enumerate(strange(200))] + odd()
     docs = documents(spark, rows).withColumn("piece", F.lit("clash"))
